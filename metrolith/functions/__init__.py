@@ -1 +1 @@
-
+"""Scalar helpers: time, statistics, errors."""

@@ -1 +1 @@
-
+"""Analytic operators over frames."""

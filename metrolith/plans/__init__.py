@@ -1 +1 @@
-
+"""The semantic model, the planner, frames and sessions."""

@@ -1 +1 @@
-
+"""Readers and inspection of sources."""

@@ -1 +1 @@
-
+"""Reserved: the engine is batch only; completeness receipts (not stream watermarks) bound its events."""
