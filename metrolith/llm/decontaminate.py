@@ -239,4 +239,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     id_column = options.get("id_column", "doc_id")
     bad = overlaps(docs, benchmark, **options).select(F.col(id_column).alias("_bad")).distinct()
     bad = checked(bad, "contaminated")
-    return docs.join(bad, docs[id_column].eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs[id_column].eqNullSafe(bad["_bad"]), "left_anti")

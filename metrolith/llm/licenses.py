@@ -88,8 +88,11 @@ LICENSES = (
     ("BUSL-1.1", ("busl-1.1", "business source license 1.1")),
     ("Elastic-2.0", ("elastic license 2.0",)),
 )
+#: For names that hold the word licence themselves.
+NAMED = r"\b{}\b"
 #: (priority, first keyword, template).  ``{}`` stands for a name.
 TEMPLATES = (
+    (55, "licen", NAMED),
     (90, "spdx-license-identifier", r"spdx-license-identifier:\s*{}(?:-only|-or-later)?\b"),
     (60, "licen", r"\blicen[sc]ed\s+under\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?{}\b(?:\s+licen[sc]e)?"),
     (50, "licen", r"\b(?:the\s+)?{}(?:\s+(?:style|software|open\s+source|public))?\s+licen[sc]e\b(?:,?\s+version\s+[0-9.]+)?"),
@@ -118,7 +121,9 @@ def rules() -> list[dict]:
     for label, names in LICENSES:
         for priority, first, template in TEMPLATES:
             for name in names if first == "licen" else (label.lower(),):
-                body = r"[\s-]+".join(re.escape(w) for w in re.split(r"[\s-]+", name))
+                if template == NAMED and "licen" not in name:
+                    continue
+                body = r"[\s,-]+".join(re.escape(w) for w in re.split(r"[\s-]+", name))
                 body = re.sub(r"version\b", r"(?:version|v\\.?)", body)
                 second = max(re.split(r"[\s-]+", name), key=len)
                 out.append({"label": label, "p": priority, "k1": first, "k2": second, "re": "(?i)" + template.replace("{}", body)})

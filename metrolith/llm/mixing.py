@@ -201,6 +201,6 @@ def mix(docs: DataFrame, id_column="doc_id", text_column="text", source_column="
     plan = schedule(docs, id_column, text_column, source_column)
     counted = plan.select(F.col(id_column).alias("_id"), F.col("copies").alias("_copies"))
     known = checked(counted.where("_copies > 0"), "mix-copies")
-    joined = docs.join(known, F.col(id_column).eqNullSafe(F.col("_id")))
-    again = joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return again.select(*docs.columns)
+    joined = docs.join(known, docs[id_column].eqNullSafe(known["_id"]))
+    times = F.sequence(F.lit(1), known["_copies"].cast("int"))
+    return joined.select(*(docs[c] for c in docs.columns), F.explode(times).alias("_mix_nth")).drop("_mix_nth")

@@ -208,8 +208,7 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     found = near_duplicates(docs, id_column=id_column, text_column=text_column, **options)
     out = found.where(~F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("_gone"))
-    kept = docs.join(
-        checked(out.distinct(), "simhash-gone"), docs[id_column].eqNullSafe(F.col("_gone")), "left_anti"
-    )
+    gone = checked(out.distinct(), "simhash-gone")
+    kept = docs.join(gone, docs[id_column].eqNullSafe(gone["_gone"]), "left_anti")
     repeated = docs.groupBy(id_column).count().where("count > 1").limit(1).count()
     return kept.dropDuplicates([id_column]) if repeated else kept
