@@ -160,14 +160,16 @@ class TokenFile:
 class _Memory(dict):
     """Bytes of the ids of each piece; the older half is dropped when both are full."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, marks):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.marks, self.old = encode, marks, {}
 
     def __missing__(self, piece):
         found = self.old.get(piece)
         if found is None:
-            found = self.encode(piece)
+            # Letters and a mark after them are never one pre-token.
+            mark = self.marks.get(piece[-1:])
+            found = self[piece[:-1]] + mark if mark and piece[:-1].isalpha() else self.encode(piece)
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
@@ -187,12 +189,20 @@ class Encoder:
         self.kind = "<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         self.end = np.array([end_id], dtype=self.kind).tobytes()
         self.line_break = self._encode("\n")
-        self.first = _Memory(self._encode)
-        self.spaced = _Memory(lambda w: self._encode(" " + w))
+        marks = {m: self._encode(m) for m in ".,;:!?"}
+        # A space before letters is one pre-token with them; so are bare letters.
+        # ASCII letters stand for themselves in the byte alphabet, a space for U+0120.
+        self.first = _Memory(lambda w: self._letters(w) if w.isascii() and w.isalpha() else self._encode(w), marks)
+        self.spaced = _Memory(
+            lambda w: self._letters("\u0120" + w) if w.isascii() and w.isalpha() else self._encode(" " + w), marks
+        )
 
     def _encode(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
+    def _letters(self, pre_token: str) -> bytes:
+        return np.array([t.id for t in self.tokenizer.model.tokenize(pre_token)], dtype=self.kind).tobytes()
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return self.end
