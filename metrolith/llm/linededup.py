@@ -18,24 +18,33 @@ near copies in work proportional to their size; the classes that stay
 unsettled then meet every earlier class of their lists.  No pair is left out
 that could still remove a line.
 
+Another filter in the join's condition compares parity bitmaps: each token flips
+one of 44 bits, so two sets differ in at least as many tokens as their bitmaps
+differ in bits, and sets that match differ in at most a ninth of their summed
+sizes.  No filter drops a pair that matches.
+
 Tokens are compared as 52-bit hashes joined with their bucket's rank; class keys
 are two 64-bit hashes.
 
 Defined cases: null and empty texts have no lines; blank lines are neither
 counted nor removed; rows that repeat an id stand at the same places and do not
-remove each other unless their tokens are the same; an empty table gives an
+remove each other unless their tokens are the same; lines of documents without
+an id match only their exact copies; an empty table gives an
 empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize, text_or_empty
 
 SPACE = r"[\x20\x09\x0B-\x0D]+"
 BUCKETS = 4096
+#: Bits of the parity bitmap; with a 20-bit place it fills a long.
+PARITY_BITS = 44
+PLACE_BITS = 20
 #: Lines whose tokens are fetched for comparison are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_LINES = 1_000_000
 
@@ -75,6 +84,16 @@ def token_set(line: Column, rank: list[int]) -> Column:
     return F.array_sort(F.array_distinct(F.transform(words(line), code)))
 
 
+def parity(tokens: Column) -> Column:
+    """The parity bitmap of a token set."""
+    one = F.lit(1).cast("bigint")
+    return F.aggregate(
+        tokens,
+        F.lit(0).cast("bigint"),
+        lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(t, F.lit(PARITY_BITS)).cast("int"))),
+    )
+
+
 def prefix_length(n: Column) -> Column:
     return n - F.floor((4 * n + 4) / 5).cast("int") + 1
 
@@ -91,36 +110,59 @@ def classes(docs: DataFrame, rank: list[int], id_column: str, text_column: str)
             F.xxhash64("t").alias("h1"),
             F.xxhash64("t", F.lit(1)).alias("h2"),
             n.alias("n"),
+            F.when(n >= 4, parity(F.col("t"))).alias("sig"),
             # Sets of one to three tokens match no other set.
             F.when(n >= 4, F.slice("t", 1, prefix_length(n))).alias("prefix"),
         ),
         "lines",
     )
-    first = F.min(F.struct("doc_id", "line_no", "n", "prefix")).alias("f")
+    first = F.min(F.struct("doc_id", "line_no", "n", "sig", "prefix")).alias("f")
     found = each.groupBy("h1", "h2").agg(first).select("h1", "h2", "f.*")
-    return each.drop("n", "prefix"), materialize(found, "line-classes")
+    return each.drop("n", "sig", "prefix"), materialize(found, "line-classes")
+
 
+def _entries(found: DataFrame) -> DataFrame:
+    """A row for each prefix token of each class: token, doc, line and size, bitmap and place, settled.
+
+    The row is kept small, for it is what the join shuffles: two numbers share each of two longs.
+    """
+    place = F.least(F.col("i").cast("bigint"), F.lit((1 << PLACE_BITS) - 1).cast("bigint"))
+    return (
+        found.where("prefix is not null")
+        .select("doc_id", "line_no", "n", "sig", "settled", F.posexplode("prefix").alias("i", "token"))
+        .select(
+            "token",
+            F.col("doc_id").alias("doc"),
+            F.shiftleft(F.col("line_no").cast("bigint"), 32).bitwiseOR(F.col("n").cast("bigint")).alias("ln"),
+            F.shiftleft("sig", PLACE_BITS).bitwiseOR(place).alias("si"),
+            "settled",
+        )
+    )
 
-def _at(column: str) -> Column:
-    return F.struct(F.col(f"{column}_doc"), F.col(f"{column}_no"))
+
+def _named(entries: DataFrame, side: str) -> DataFrame:
+    return entries.select(*(F.col(c).alias(f"{side}_{c}") for c in entries.columns))
 
 
 def _possible(a: str, b: str) -> Column:
-    """Length and positional filters for two prefix entries that share a token."""
-    na, nb, ia, ib = (F.col(f"{x}_{y}") for y in ("n", "i") for x in (a, b))
+    """Order, length, positional and bitmap filters for two entries that share a token."""
+
+    def size(x):
+        return F.col(f"{x}_ln").bitwiseAND(F.lit((1 << 32) - 1).cast("bigint"))
+
+    def place(x):
+        return F.col(f"{x}_si").bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("bigint"))
+
+    na, nb = size(a), size(b)
+    earlier = (F.col(f"{a}_doc") < F.col(f"{b}_doc")) | ((F.col(f"{a}_doc") == F.col(f"{b}_doc")) & (F.col(f"{a}_ln") < F.col(f"{b}_ln")))
     length = 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
-    return length & (9 * (1 + F.least(na - ia, nb - ib) - 1) >= 4 * (na + nb))
+    positional = 9 * F.least(na - place(a), nb - place(b)) >= 4 * (na + nb)
+    differing = F.bit_count(F.shiftrightunsigned(F.col(f"{a}_si").bitwiseXOR(F.col(f"{b}_si")), PLACE_BITS))
+    return earlier & length & positional & (9 * differing <= na + nb)
 
 
-def _entries(found: DataFrame, side: str) -> DataFrame:
-    return found.where("prefix is not null").select(
-        F.col("h1").alias(f"{side}_h1"),
-        F.col("h2").alias(f"{side}_h2"),
-        F.col("doc_id").alias(f"{side}_doc"),
-        F.col("line_no").alias(f"{side}_no"),
-        F.col("n").alias(f"{side}_n"),
-        F.posexplode("prefix").alias(f"{side}_i", f"{side}_token"),
-    )
+def _pair(a: str, b: str) -> list[Column]:
+    return [c for x in (a, b) for c in (F.col(f"{x}_doc"), F.shiftright(f"{x}_ln", 32).cast("int").alias(f"{x}_no"))]
 
 
 def _matching(pairs: DataFrame, docs: DataFrame, rank: list[int], id_column: str, text_column: str) -> DataFrame:
@@ -148,34 +190,28 @@ def _matching(pairs: DataFrame, docs: DataFrame, rank: list[int], id_column: str
 
 
 def removed_classes(docs: DataFrame, found: DataFrame, rank: list[int], id_column="doc_id", text_column="text") -> DataFrame:
-    """(h1, h2) of the classes that an earlier class matches."""
-    names = ("h1", "h2", "doc", "no", "n", "i")
-    b = _entries(found, "b")
+    """(x_doc, x_no): the first places of the classes that an earlier class matches."""
     # First the earliest class of each token's list.
-    earliest = b.groupBy("b_token").agg(
-        F.min(F.struct(*(F.col(f"b_{x}") for x in ("doc", "no", "h1", "h2", "n", "i")))).alias("a"), F.count("*").alias("k")
+    entries = _entries(found.withColumn("settled", F.lit(False)))
+    least = F.min(F.struct("doc", "ln", "si")).over(Window.partitionBy("token"))
+    met = _named(entries.withColumn("first", least), "b").select(
+        "b_doc", "b_ln", "b_si", *(F.col(f"b_first.{c}").alias(f"a_{c}") for c in ("doc", "ln", "si"))
     )
-    pivots = earliest.where("k > 1").select(F.col("b_token").alias("a_token"), *(F.col(f"a.b_{x}").alias(f"a_{x}") for x in names))
-    pair = ["a_doc", "a_no", "b_doc", "b_no", "b_h1", "b_h2"]
-    met = b.join(pivots, F.col("b_token") == F.col("a_token")).where((_at("a") < _at("b")) & _possible("a", "b"))
-    first = materialize(met.select(*pair).distinct(), "line-pairs")
+    first = materialize(met.where(_possible("a", "b")).select(*_pair("a", "b")).distinct(), "line-pairs")
     settled = materialize(
-        _matching(first, docs, rank, id_column, text_column).select("b_h1", "b_h2").distinct(), "lines-settled"
+        _matching(first, docs, rank, id_column, text_column).select("b_doc", "b_no").distinct(), "lines-settled"
     )
-    # Then every earlier class, for those that are left.
-    left = found.join(settled, (F.col("h1") == F.col("b_h1")) & (F.col("h2") == F.col("b_h2")), "left_anti")
-    rest = (
-        _entries(left, "b")
-        .join(
-            _entries(found, "a"),
-            (F.col("b_token") == F.col("a_token")) & (_at("a") < _at("b")) & _possible("a", "b"),
-        )
-        .select(*pair)
-        .distinct()
+    # Then every earlier class, for those that are left; both sides read one shuffle.
+    marked = found.join(settled, (F.col("doc_id") == F.col("b_doc")) & (F.col("line_no") == F.col("b_no")), "left").withColumn(
+        "settled", F.col("b_doc").isNotNull()
+    )
+    entries = _entries(marked.drop("b_doc", "b_no"))
+    rest = _named(entries, "b").join(
+        _named(entries, "a"), (F.col("b_token") == F.col("a_token")) & ~F.col("b_settled") & _possible("a", "b")
     )
-    second = materialize(rest, "line-pairs")
-    late = _matching(second, docs, rank, id_column, text_column).select("b_h1", "b_h2").distinct()
-    return settled.union(late).toDF("x_h1", "x_h2")
+    second = materialize(rest.select(*_pair("a", "b")).distinct(), "line-pairs")
+    late = _matching(second, docs, rank, id_column, text_column).select("b_doc", "b_no").distinct()
+    return settled.union(late).toDF("x_doc", "x_no")
 
 
 def decisions(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -186,12 +222,12 @@ def decisions(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     rank = rarity(docs, text_column)
     lines, found = classes(docs, rank, id_column, text_column)
     gone = removed_classes(docs, found, rank, id_column, text_column)
-    marked = found.join(gone, (F.col("h1") == F.col("x_h1")) & (F.col("h2") == F.col("x_h2")), "left").select(
+    marked = found.join(gone, (F.col("doc_id") == F.col("x_doc")) & (F.col("line_no") == F.col("x_no")), "left").select(
         F.col("h1").alias("c_h1"),
         F.col("h2").alias("c_h2"),
         F.col("doc_id").alias("class_doc"),
         F.col("line_no").alias("class_no"),
-        F.col("x_h1").isNotNull().alias("gone"),
+        F.col("x_doc").isNotNull().alias("gone"),
     )
     joined = lines.join(marked, (F.col("h1") == F.col("c_h1")) & (F.col("h2") == F.col("c_h2")))
     later = ~(F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("line_no") == F.col("class_no")))
