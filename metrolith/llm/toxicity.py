@@ -35,10 +35,12 @@ from ._common import held_out, per_document
 BUCKETS = 1 << 14
 DIMENSIONS = 16
 NGRAMS = (3, 4, 5)
-SAMPLE = 1500
+SAMPLE = 1200
 EPOCHS = 60
 THRESHOLD = 0.3
 REMEMBERED = 400_000
+#: Tokens whose subwords the driver remembers while it reads the sample.
+REMEMBERED_IN_FIT = 50_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -94,22 +96,26 @@ def bag(text: str, memory: dict) -> np.ndarray:
     """The average subword bag of a text over all buckets."""
     out = np.zeros(BUCKETS, dtype=np.float32)
     found: list[int] = []
+    # A long text's subwords are counted piece by piece.
+    total = 0
     for token in text.split():
         if token not in memory:
             memory[token] = subwords(token)
         found += memory[token]
-    if found:
-        out += np.bincount(found, minlength=BUCKETS) / len(found)
-    return out
+        if len(found) > 100_000:
+            out += np.bincount(found, minlength=BUCKETS)
+            total += len(found)
+            found = []
+    out += np.bincount(np.array(found, dtype=np.int64), minlength=BUCKETS)
+    return out / max(1, total + len(found))
 
 
-def train(bags: np.ndarray, labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> ToxicityModel:
-    """Embeddings and softmax, jointly, by full-batch Adam."""
+def train(bags: np.ndarray, labels: np.ndarray, weights: np.ndarray, fit: int, seed: int = 7) -> ToxicityModel:
+    """Embeddings and softmax, jointly, by full-batch Adam on the first ``fit`` rows; scales ``bags`` in place."""
     random = np.random.default_rng(seed)
-    fit = np.arange(len(labels)) % 4 != 3
-    x, y, w = bags[fit], labels[fit], (weights[fit] / weights[fit].sum()).astype(np.float32)
-    scale = 1.0 / (np.sqrt((x**2).mean(axis=0)) + 1e-4)
-    x = x * scale.astype(np.float32)
+    x, y, w = bags[:fit], labels[:fit], (weights[:fit] / weights[:fit].sum()).astype(np.float32)
+    scale = (1.0 / (np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + 1e-4)).astype(np.float32)
+    bags *= scale
     table = random.normal(0, 0.05, (BUCKETS, DIMENSIONS)).astype(np.float32)
     head = random.normal(0, 0.3, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
@@ -127,11 +133,10 @@ def train(bags: np.ndarray, labels: np.ndarray, weights: np.ndarray, seed: int =
             v += 0.01 * (grad**2 - v)
             rate = 0.01 / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
             value -= rate * m / (1 - 0.9**step)
-    values = (table @ (head[:, 1] - head[:, 0]) * scale).astype(np.float64)
-    model = ToxicityModel(values, float(bias[1] - bias[0]))
-    # Logistic scale on the part that was kept back, by Newton's method.
-    kept = ~fit
-    z, t, u = bags[kept].astype(np.float64) @ values + model.bias, labels[kept], weights[kept]
+    difference = table @ (head[:, 1] - head[:, 0])
+    model = ToxicityModel((difference * scale).astype(np.float64), float(bias[1] - bias[0]))
+    # Logistic scale on the rows that were kept back, by Newton's method.
+    z, t, u = (bags[fit:] @ difference).astype(np.float64) + model.bias, labels[fit:], weights[fit:]
     if len(set(t.tolist())) == 2:
         beta = np.array([0.0, np.log((t * u).sum() / ((1 - t) * u).sum())])
         spread = z.std() + 1e-9
@@ -168,20 +173,28 @@ def fit(
         part = known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
     rows = texts.join(F.broadcast(chosen), F.col("_d") == F.col("_id")).select("_id", "_y", "_text")
-    order, bags, ys, memory = [], [], [], {}
-    for r in rows.toLocalIterator():
-        order.append(r[0])
-        ys.append(r[1])
-        bags.append(bag(r[2], memory))
-        if len(memory) > REMEMBERED:
+    # Rows for fitting are filled from the front, rows kept back from the end.
+    size = sum(min(sample, n) for n in shares.values())
+    bags, y = np.zeros((size, BUCKETS), dtype=np.float32), np.zeros(size, dtype=int)
+    front, back, memory = 0, size, {}
+    for r in rows.dropDuplicates(["_id"]).orderBy("_id").toLocalIterator():
+        if zlib.crc32(f"kept {r[0]}".encode()) % 4 == 3:
+            back -= 1
+            at = back
+        else:
+            at = front
+            front += 1
+        bags[at], y[at] = bag(r[2], memory), r[1]
+        if len(memory) > REMEMBERED_IN_FIT:
             memory.clear()
-    if len(set(ys)) < 2:
-        return ToxicityModel(np.zeros(BUCKETS), 50.0 if 1 in ys else -50.0)
-    by = sorted(range(len(order)), key=lambda i: zlib.crc32(str(order[i]).encode()))
-    y = np.array([ys[i] for i in by])
+    if front < back:  # labelled rows without a document
+        y = np.delete(y, slice(front, back))
+        bags = np.delete(bags, slice(front, back), axis=0)
+    if len(set(y[:front].tolist())) < 2:
+        return ToxicityModel(np.zeros(BUCKETS), 50.0 if y.any() else -50.0)
     counts = np.bincount(y, minlength=2)
     weights = np.array([shares[0] / counts[0], shares[1] / counts[1]])[y]
-    return train(np.stack([bags[i] for i in by]), y, weights)
+    return train(bags, y, weights, front)
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, id_column="doc_id", text_column="text", threshold=THRESHOLD) -> DataFrame:
