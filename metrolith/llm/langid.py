@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, per_document
+from ._common import checked, held_out, per_document
 
 BUCKETS = 1 << 13
 SAMPLE = 300
@@ -138,9 +138,10 @@ def fit(
     known = docs.where(F.col(language_column).isNotNull() & ~held_out(id_column)).select(
         F.col(id_column).alias("_id"), F.col(language_column).alias("_l"), F.col(text_column).alias("_t")
     )
-    shares = known.groupBy("_l").count().select(F.col("_l").alias("_k"), (F.lit(2.0 * sample) / F.col("count")).alias("_share"))
+    shares = known.groupBy("_l").count().select("_l", (F.lit(2.0 * sample) / F.col("count")).alias("_share"))
+    shares = checked(shares, "language-shares")
     hashed = F.shiftrightunsigned(F.xxhash64("_id", F.lit(11)), 1) / F.lit(2.0**63)
-    rows = known.join(shares, F.col("_l") == F.col("_k")).where(hashed < F.col("_share"))
+    rows = known.join(shares, "_l").where(hashed < F.col("_share"))
     samples: dict[str, list] = {}
     for r in rows.select("_id", "_l", "_t").toLocalIterator():
         held = samples.setdefault(r[1], [])
