@@ -48,8 +48,9 @@ from ._common import scratch_path, slices
 MAGIC = b"MLEF0001"
 HINT = 256
 NULL_ID = -(1 << 63)
-#: Pieces that a worker remembers, in each of two generations.
+#: Pieces that a worker remembers, in each of two generations: after a space, and at the start of a line.
 REMEMBERED = 300_000
+REMEMBERED_FIRST = 60_000
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 
@@ -125,23 +126,24 @@ class EliasFano:
 # --- the file ---------------------------------------------------------------------
 
 
-def to_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: bytes, id_bytes: int) -> bytes:
+def file_head(doc_ids: np.ndarray, lengths: np.ndarray, id_bytes: int) -> bytes:
+    """Everything before the ids."""
     ef = EliasFano.encode(np.cumsum(lengths))
     header = struct.pack("<6Q", ef.n, ef.universe, ef.width, len(ef.low), len(ef.high), id_bytes)
-    parts = [MAGIC, header, ef.low, ef.high, ef.hints.tobytes(), doc_ids.astype("<i8").tobytes(), ids]
-    return b"".join(parts)
+    return b"".join([MAGIC, header, ef.low, ef.high, ef.hints.tobytes(), doc_ids.astype("<i8").tobytes()])
 
 
 class TokenFile:
     """Random access to the documents of one file."""
 
-    def __init__(self, raw: bytes):
-        if raw[:8] != MAGIC:
+    def __init__(self, raw):
+        raw = memoryview(raw)
+        if bytes(raw[:8]) != MAGIC:
             raise ValueError("not a token file")
         n, u, width, low, high, self.id_bytes = struct.unpack_from("<6Q", raw, 8)
         at = 8 + 48
         hints = -(-n // HINT)
-        low_part, high_part = raw[at : at + low], raw[at + low : at + low + high]
+        low_part, high_part = bytes(raw[at : at + low]), bytes(raw[at + low : at + low + high])
         at += low + high
         self.ends = EliasFano(n, u, width, low_part, high_part, np.frombuffer(raw, "<u8", hints, at))
         at += 8 * hints
@@ -160,9 +162,9 @@ class TokenFile:
 class _Memory(dict):
     """Bytes of the ids of each piece; the older half is dropped when both are full."""
 
-    def __init__(self, encode, marks):
+    def __init__(self, encode, marks, most):
         super().__init__()
-        self.encode, self.marks, self.old = encode, marks, {}
+        self.encode, self.marks, self.most, self.old = encode, marks, most, {}
 
     def __missing__(self, piece):
         found = self.old.get(piece)
@@ -170,7 +172,7 @@ class _Memory(dict):
             # Letters and a mark after them are never one pre-token.
             mark = self.marks.get(piece[-1:])
             found = self[piece[:-1]] + mark if mark and piece[:-1].isalpha() else self.encode(piece)
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[piece] = found
@@ -192,9 +194,11 @@ class Encoder:
         marks = {m: self._encode(m) for m in ".,;:!?"}
         # A space before letters is one pre-token with them; so are bare letters.
         # ASCII letters stand for themselves in the byte alphabet, a space for U+0120.
-        self.first = _Memory(lambda w: self._letters(w) if w.isascii() and w.isalpha() else self._encode(w), marks)
+        self.first = _Memory(
+            lambda w: self._letters(w) if w.isascii() and w.isalpha() else self._encode(w), marks, REMEMBERED_FIRST
+        )
         self.spaced = _Memory(
-            lambda w: self._letters("\u0120" + w) if w.isascii() and w.isalpha() else self._encode(" " + w), marks
+            lambda w: self._letters("\u0120" + w) if w.isascii() and w.isalpha() else self._encode(" " + w), marks, REMEMBERED
         )
 
     def _encode(self, piece: str) -> bytes:
@@ -266,10 +270,13 @@ def write_tokens(
         doc_ids, lengths, parts = [], [], []
         for batch in batches:
             for part, texts in slices(batch, 1):
-                doc_ids.append(part.column(0).to_numpy())
+                doc_ids.append(part.column(0).to_numpy().copy())
                 made = [encode(t) for t in texts]
                 lengths.append(np.array([len(m) // width for m in made], dtype=np.int64))
                 parts.append(b"".join(made))
+                del made, texts, part
+            del batch
+            pa.default_memory_pool().release_unused()
         if not doc_ids:
             return
         sizes = np.concatenate(lengths)
@@ -277,7 +284,9 @@ def write_tokens(
         fs, path = pa.fs.FileSystem.from_uri(folder)
         attempt = f"{path}/_{name}.{context.taskAttemptId()}"
         with fs.open_output_stream(attempt) as out:
-            out.write(to_file(np.concatenate(doc_ids), sizes, b"".join(parts), width))
+            out.write(file_head(np.concatenate(doc_ids), sizes, width))
+            for piece in parts:
+                out.write(piece)
         fs.move(attempt, f"{path}/{name}")
         yield pa.RecordBatch.from_arrays(
             [pa.array([name]), pa.array([len(sizes)], pa.int64()), pa.array([int(sizes.sum())], pa.int64())],
@@ -308,7 +317,7 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                found = TokenFile(batch.column(1)[i].as_buffer().to_pybytes())
+                found = TokenFile(batch.column(1)[i].as_buffer())
                 ends = found.ends.all().astype(np.int64)
                 begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 sums = [zlib.crc32(found.ids[a:b].astype("<u4").tobytes()) for a, b in zip(begins, ends, strict=True)]
