@@ -7,24 +7,23 @@ doc_id, then place in the document) has the same tokens or matches it.
 
 Lines with the same tokens form a class, stood for by its first line, so copies
 never meet each other.  Classes are joined by prefix filtering: tokens are
-ordered by rarity (the rank of their hash bucket's count over all documents, then
-the hash), and two sets that match share a token among their first
-n - ceil(0.8 n) + 1.  Length and positional filters prune in the join's
-condition, then the whole sets are compared.
+ordered by rarity (the level of their hash bucket's count over all documents,
+then the hash).  Two sets that match share a token among the first
+n - ceil(0.8 n) + 1 of the larger and the first n - ceil(8/9 n) + 1 of the
+smaller.  They meet by token and size group; length, positional and bitmap
+filters prune in the join's condition, then the whole sets are compared.
 
 A line needs only one earlier match to go.  So each class first meets the
-earliest class of each of its prefix tokens' lists, which settles large groups of
-near copies in work proportional to their size; the classes that stay
-unsettled then meet every earlier class of their lists.  No pair is left out
-that could still remove a line.
+earliest class of each of its rarest tokens' lists, which settles large groups of
+near copies in work proportional to their size; then all classes meet but two
+that are settled.  No pair is left out that could still remove a line.
 
-Another filter in the join's condition compares parity bitmaps: each token flips
-one of 44 bits, so two sets differ in at least as many tokens as their bitmaps
-differ in bits, and sets that match differ in at most a ninth of their summed
-sizes.  No filter drops a pair that matches.
+The bitmap filter: each token flips one of 108 bits, so two sets differ in at
+least as many tokens as their bitmaps differ in bits, and sets that match differ
+in at most a ninth of their summed sizes.  No filter drops a pair that matches.
 
-Tokens are compared as 52-bit hashes joined with their bucket's rank; class keys
-are two 64-bit hashes.
+Tokens are compared as the upper 56 bits of a hash joined with their bucket's
+level; class keys are two 64-bit hashes.
 
 Defined cases: null and empty texts have no lines; blank lines are neither
 counted nor removed; rows that repeat an id stand at the same places and do not
@@ -35,18 +34,23 @@ empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, text_or_empty
+from ._common import checked, materialize, text_or_empty
 
 SPACE = r"[\x20\x09\x0B-\x0D]+"
-BUCKETS = 4096
-#: Bits of the parity bitmap; with a 20-bit place it fills a long.
-PARITY_BITS = 44
+#: Buckets of the word counts; a bucket's level counts thirds of a power of two.
+BUCKETS = 16384
+#: Bits of the parity bitmap: 44 share a long with a 20-bit place, 64 fill another.
+LOW_BITS, HIGH_BITS = 44, 64
 PLACE_BITS = 20
 #: Lines whose tokens are fetched for comparison are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_LINES = 1_000_000
+#: Prefix tokens of settled classes are broadcast up to this many, and joined by a shuffle beyond.
+BROADCAST_ENTRIES = 300_000
 
 
 def words(line: Column) -> Column:
@@ -61,48 +65,61 @@ def lines_of(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def rarity(docs: DataFrame, text_column: str = "text") -> list[int]:
-    """The rank of each hash bucket by its number of words, rarest first; a list of fixed length."""
+    """The level (thirds of a power of two) of each hash bucket's number of words; a list of fixed length."""
     token = F.explode(F.split(text_or_empty(text_column), r"[\x20\x09-\x0D]+"))
     counted = docs.select(token.alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).count()
-    count = {r[0]: r[1] for r in counted.collect()}
-    order = sorted(range(BUCKETS), key=lambda b: (count.get(b, 0), b))
-    rank = [0] * BUCKETS
-    for i, b in enumerate(order):
-        rank[b] = i
-    return rank
+    level = [0] * BUCKETS
+    for b, n in counted.collect():
+        level[b] = min(127, int(3 * math.log2(n)))
+    return level
 
 
 def token_set(line: Column, rank: list[int]) -> Column:
     """The distinct tokens of a line as longs whose order is rarity."""
-    ranks = F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")
+    levels = F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")
 
     def code(word: Column) -> Column:
         h = F.xxhash64(word)
         bucket = F.pmod(h, F.lit(BUCKETS)).cast("int")
-        return F.shiftleft(F.get(ranks, bucket), 51).bitwiseOR(F.shiftrightunsigned(h, 13))
+        return F.shiftleft(F.get(levels, bucket), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.array_sort(F.array_distinct(F.transform(words(line), code)))
+    return F.sort_array(F.array_distinct(F.transform(words(line), code)))
 
 
-def parity(tokens: Column) -> Column:
-    """The parity bitmap of a token set."""
-    one = F.lit(1).cast("bigint")
-    return F.aggregate(
-        tokens,
-        F.lit(0).cast("bigint"),
-        lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(t, F.lit(PARITY_BITS)).cast("int"))),
-    )
+def parity(tokens: Column) -> tuple[Column, Column]:
+    """The two parts of the parity bitmap of a token set."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+
+    def flipped(first: int, bits: int) -> Column:
+        def step(acc, t):
+            bit = F.pmod(t, F.lit(LOW_BITS + HIGH_BITS)).cast("int") - first
+            return F.when((bit >= 0) & (bit < bits), acc.bitwiseXOR(F.call_function("shiftleft", one, bit))).otherwise(acc)
+
+        return F.aggregate(tokens, zero, step)
+
+    return flipped(0, LOW_BITS), flipped(LOW_BITS, HIGH_BITS)
 
 
 def prefix_length(n: Column) -> Column:
     return n - F.floor((4 * n + 4) / 5).cast("int") + 1
 
 
+def index_length(n: Column) -> Column:
+    """Prefix of the smaller set of a pair: the sets share at least 8/9 of it."""
+    return n - F.floor((8 * n + 8) / 9).cast("int") + 1
+
+
+def size_group(n: Column) -> Column:
+    """Groups of sizes by powers of 1.25: the larger set of a pair is in the smaller one's group or the next."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(1.25)) + 1e-9).cast("bigint")
+
+
 def classes(docs: DataFrame, rank: list[int], id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
-    """Lines (doc_id, line_no, h1, h2) and classes (h1, h2, doc_id, line_no, n, prefix)."""
+    """Lines (doc_id, line_no, h1, h2) and classes (h1, h2, doc_id, line_no, n, sig, sig2, prefix)."""
     lines = lines_of(docs, id_column, text_column).where(F.length(F.trim(F.translate("line", "\t\x0b\x0c\r", ""))) > 0)
     signed = lines.select("doc_id", "line_no", token_set(F.col("line"), rank).alias("t"))
     n = F.size("t")
+    low, high = parity(F.col("t"))
     each = materialize(
         signed.select(
             "doc_id",
@@ -110,33 +127,43 @@ def classes(docs: DataFrame, rank: list[int], id_column: str, text_column: str)
             F.xxhash64("t").alias("h1"),
             F.xxhash64("t", F.lit(1)).alias("h2"),
             n.alias("n"),
-            F.when(n >= 4, parity(F.col("t"))).alias("sig"),
+            F.when(n >= 4, low).alias("sig"),
+            F.when(n >= 4, high).alias("sig2"),
             # Sets of one to three tokens match no other set.
             F.when(n >= 4, F.slice("t", 1, prefix_length(n))).alias("prefix"),
         ),
         "lines",
     )
-    first = F.min(F.struct("doc_id", "line_no", "n", "sig", "prefix")).alias("f")
+    first = F.min(F.struct("doc_id", "line_no", "n", "sig", "sig2", "prefix")).alias("f")
     found = each.groupBy("h1", "h2").agg(first).select("h1", "h2", "f.*")
-    return each.drop("n", "sig", "prefix"), materialize(found, "line-classes")
+    return each.drop("n", "sig", "sig2", "prefix"), materialize(found, "line-classes")
 
 
-def _entries(found: DataFrame) -> DataFrame:
-    """A row for each prefix token of each class: token, doc, line and size, bitmap and place, settled.
+def _entries(found: DataFrame, role: str) -> DataFrame:
+    """A row for each prefix token of each class: key, doc, line and size, bitmap and place, rest of the bitmap.
 
-    The row is kept small, for it is what the join shuffles: two numbers share each of two longs.
+    The row is kept small, for it is what the join shuffles: two numbers share each of two longs.  Roles: ``larger`` and
+    ``smaller`` of a pair, whose keys mix the token with a size group (the smaller one's stands in two), and ``first``, by
+    token alone.  Keys that collide only make a pair more to check.
     """
+    n = F.col("n")
+    prefix = F.col("prefix") if role == "larger" else F.slice("prefix", 1, index_length(n))
     place = F.least(F.col("i").cast("bigint"), F.lit((1 << PLACE_BITS) - 1).cast("bigint"))
-    return (
-        found.where("prefix is not null")
-        .select("doc_id", "line_no", "n", "sig", "settled", F.posexplode("prefix").alias("i", "token"))
-        .select(
-            "token",
-            F.col("doc_id").alias("doc"),
-            F.shiftleft(F.col("line_no").cast("bigint"), 32).bitwiseOR(F.col("n").cast("bigint")).alias("ln"),
-            F.shiftleft("sig", PLACE_BITS).bitwiseOR(place).alias("si"),
-            "settled",
-        )
+    rows = found.where("prefix is not null and doc_id is not null").select(
+        "doc_id",
+        F.shiftleft(F.col("line_no").cast("bigint"), 32).bitwiseOR(n.cast("bigint")).alias("ln"),
+        "sig",
+        "sig2",
+        size_group(n).alias("g"),
+        F.posexplode(prefix).alias("i", "token"),
+    )
+    key = F.col("token")
+    if role == "smaller":
+        rows = rows.withColumn("g", F.explode(F.array(F.col("g"), F.col("g") + 1)))
+    if role != "first":
+        key = F.xxhash64("token", "g")
+    return rows.select(
+        key.alias("key"), F.col("doc_id").alias("doc"), "ln", F.shiftleft("sig", PLACE_BITS).bitwiseOR(place).alias("si"), "sig2"
     )
 
 
@@ -144,21 +171,31 @@ def _named(entries: DataFrame, side: str) -> DataFrame:
     return entries.select(*(F.col(c).alias(f"{side}_{c}") for c in entries.columns))
 
 
+def _size(x: str) -> Column:
+    return F.col(f"{x}_ln").bitwiseAND(F.lit((1 << 32) - 1).cast("bigint"))
+
+
+def _earlier(a: str, b: str) -> Column:
+    first, second = F.shiftright(f"{a}_ln", 32), F.shiftright(f"{b}_ln", 32)
+    return (F.col(f"{a}_doc") < F.col(f"{b}_doc")) | ((F.col(f"{a}_doc") == F.col(f"{b}_doc")) & (first < second))
+
+
 def _possible(a: str, b: str) -> Column:
-    """Order, length, positional and bitmap filters for two entries that share a token."""
+    """Length, positional and bitmap filters for two entries that share a token.
 
-    def size(x):
-        return F.col(f"{x}_ln").bitwiseAND(F.lit((1 << 32) - 1).cast("bigint"))
+    Sets that match differ in at most a ninth of their summed sizes.  For the first
+    token that they share, all tokens before it, on either side, are such differences.
+    """
 
     def place(x):
         return F.col(f"{x}_si").bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("bigint"))
 
-    na, nb = size(a), size(b)
-    earlier = (F.col(f"{a}_doc") < F.col(f"{b}_doc")) | ((F.col(f"{a}_doc") == F.col(f"{b}_doc")) & (F.col(f"{a}_ln") < F.col(f"{b}_ln")))
+    na, nb = _size(a), _size(b)
     length = 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
-    positional = 9 * F.least(na - place(a), nb - place(b)) >= 4 * (na + nb)
-    differing = F.bit_count(F.shiftrightunsigned(F.col(f"{a}_si").bitwiseXOR(F.col(f"{b}_si")), PLACE_BITS))
-    return earlier & length & positional & (9 * differing <= na + nb)
+    positional = 9 * (place(a) + place(b)) <= na + nb
+    low = F.bit_count(F.shiftrightunsigned(F.col(f"{a}_si").bitwiseXOR(F.col(f"{b}_si")), PLACE_BITS))
+    high = F.bit_count(F.col(f"{a}_sig2").bitwiseXOR(F.col(f"{b}_sig2")))
+    return length & positional & (9 * (low + high) <= na + nb)
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -192,26 +229,42 @@ def _matching(pairs: DataFrame, docs: DataFrame, rank: list[int], id_column: str
 def removed_classes(docs: DataFrame, found: DataFrame, rank: list[int], id_column="doc_id", text_column="text") -> DataFrame:
     """(x_doc, x_no): the first places of the classes that an earlier class matches."""
     # First the earliest class of each token's list.
-    entries = _entries(found.withColumn("settled", F.lit(False)))
-    least = F.min(F.struct("doc", "ln", "si")).over(Window.partitionBy("token"))
+    entries = _entries(found, "first")
+    columns = ("doc", "ln", "si", "sig2")
+    least = F.min(F.struct(*columns)).over(Window.partitionBy("key"))
     met = _named(entries.withColumn("first", least), "b").select(
-        "b_doc", "b_ln", "b_si", *(F.col(f"b_first.{c}").alias(f"a_{c}") for c in ("doc", "ln", "si"))
+        *(f"b_{c}" for c in columns), *(F.col(f"b_first.{c}").alias(f"a_{c}") for c in columns)
     )
-    first = materialize(met.where(_possible("a", "b")).select(*_pair("a", "b")).distinct(), "line-pairs")
+    first = materialize(met.where(_earlier("a", "b") & _possible("a", "b")).select(*_pair("a", "b")).distinct(), "line-pairs")
     settled = materialize(
         _matching(first, docs, rank, id_column, text_column).select("b_doc", "b_no").distinct(), "lines-settled"
     )
-    # Then every earlier class, for those that are left; both sides read one shuffle.
+    # Then every earlier class, for those that are left: pairs of a smaller and a larger set, without two settled ones.
     marked = found.join(settled, (F.col("doc_id") == F.col("b_doc")) & (F.col("line_no") == F.col("b_no")), "left").withColumn(
         "settled", F.col("b_doc").isNotNull()
     )
-    entries = _entries(marked.drop("b_doc", "b_no"))
-    rest = _named(entries, "b").join(
-        _named(entries, "a"), (F.col("b_token") == F.col("a_token")) & ~F.col("b_settled") & _possible("a", "b")
+    marked = materialize(marked.where("prefix is not null").drop("b_doc", "b_no", "h1", "h2"), "lines-marked")
+    opened, closed = marked.where("not settled"), marked.where("settled")
+    large = _named(_entries(marked, "larger"), "y")
+    met = _named(_entries(opened, "smaller"), "x").join(large, _met())
+    few = _entries(closed, "smaller")
+    few = _named(checked(few, "entries-settled", BROADCAST_ENTRIES), "x")
+    met = met.unionByName(few.join(_named(_entries(opened, "larger"), "y"), _met()))
+    earlier = _earlier("x", "y")
+    second = met.select(
+        *(F.when(earlier, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(f"a_{c}") for c in ("doc", "ln")),
+        *(F.when(earlier, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")).alias(f"b_{c}") for c in ("doc", "ln")),
     )
-    second = materialize(rest.select(*_pair("a", "b")).distinct(), "line-pairs")
+    second = materialize(second.select(*_pair("a", "b")).distinct(), "line-pairs")
     late = _matching(second, docs, rank, id_column, text_column).select("b_doc", "b_no").distinct()
-    return settled.union(late).toDF("x_doc", "x_no")
+    return settled.union(late).distinct().toDF("x_doc", "x_no")
+
+
+def _met() -> Column:
+    """A smaller set x and a larger set y (of two alike, the earlier is x) share a key and may match."""
+    larger = (_size("x") < _size("y")) & (_earlier("x", "y") | _earlier("y", "x"))
+    order = larger | ((_size("x") == _size("y")) & _earlier("x", "y"))
+    return (F.col("x_key") == F.col("y_key")) & order & _possible("x", "y")
 
 
 def decisions(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
