@@ -18,6 +18,7 @@ from . import (
     toxicity,
 )
 from ._common import held_out
+from .oracles import ORACLE_SQL  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -93,6 +94,3 @@ QUERIES = {
         op10_quality,
     )
 }
-
-#: DuckDB SQL for the operators that SQL expresses; the others are tested by brute force.
-ORACLE_SQL: dict[str, str] = {}
