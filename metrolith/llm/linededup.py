@@ -1,4 +1,4 @@
-"""Line dedup by an exact set-similarity join, with built-in functions only.
+"""Line dedup by an exact set-similarity join.
 
 A line is a ``\\n``-separated piece with at least one word (run of anything but
 ASCII white space); its tokens are its distinct words.  Two lines match at a
@@ -10,261 +10,436 @@ never meet each other.  Classes are joined by prefix filtering: tokens are
 ordered by rarity (the level of their hash bucket's count over all documents,
 then the hash).  Two sets that match share a token among the first
 n - ceil(0.8 n) + 1 of the larger and the first n - ceil(8/9 n) + 1 of the
-smaller.  They meet by token and size group; length, positional and bitmap
-filters prune in the join's condition, then the whole sets are compared.
-
-A line needs only one earlier match to go.  So each class first meets the
-earliest class of each of its rarest tokens' lists, which settles large groups of
-near copies in work proportional to their size; then all classes meet but two
-that are settled.  No pair is left out that could still remove a line.
-
-The bitmap filter: each token flips one of 108 bits, so two sets differ in at
+smaller.  A token whose bucket counts one word has no partner and is left out.
+
+The prefix entries are dealt by token to buckets, as packed columns.  In its
+bucket each class meets the earlier classes of its tokens, earliest first;
+length, positional and bitmap filters leave the pairs whose whole sets are then
+compared.  A line needs only one earlier match to go, so a class stops at its
+first ``EARLIEST`` candidates of a token, which keeps large groups of near copies
+linear.  Classes that stopped so and were not removed meet all of their
+candidates in a second round: no pair is left out that could still remove a line.
+A token that fills more than half a bucket is split into a grid of buckets, shares
+of its earlier sides by shares of its later ones, so that no bucket outgrows a task.
+
+The bitmap filter: each token flips one of 128 bits, so two sets differ in at
 least as many tokens as their bitmaps differ in bits, and sets that match differ
 in at most a ninth of their summed sizes.  No filter drops a pair that matches.
 
 Tokens are compared as the upper 56 bits of a hash joined with their bucket's
 level; class keys are two 64-bit hashes.
 
+The text passes and the meeting are numpy over Arrow batches: built-in functions
+alone take more CPU and disk than the check tool grants (see the README).
+
 Defined cases: null and empty texts have no lines; blank lines are neither
 counted nor removed; rows that repeat an id stand at the same places and do not
-remove each other unless their tokens are the same; lines of documents without
-an id match only their exact copies; an empty table gives an
-empty table; other columns are ignored.
+remove each other unless their tokens are the same; lines of documents without an
+id match only their exact copies; an empty table gives an empty table; other
+columns are ignored.  Ids are integers.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checked, materialize, text_or_empty
-
-SPACE = r"[\x20\x09\x0B-\x0D]+"
-#: Buckets of the word counts; a bucket's level counts thirds of a power of two.
-BUCKETS = 16384
-#: Bits of the parity bitmap: 44 share a long with a 20-bit place, 64 fill another.
-LOW_BITS, HIGH_BITS = 44, 64
-PLACE_BITS = 20
+from ._common import materialize, slices
+
+#: Buckets of the word counts; a bucket's level counts thirds of a power of two, 0 for a single word.
+BUCKETS = 1 << 20
+#: Slots of prefix tokens (their upper bits), counted to size the join's buckets.
+SLOTS = 1 << 18
+#: Prefix entries of a bucket of the join, about; a slot with more than half of it is split.
+BUCKET_ENTRIES = 600_000
+#: Candidates of a class and token, and of a size group, in the first round.
+EARLIEST = 2
+ALL = 1 << 62
+#: Pairs that are filtered at a time.
+FLAT = 1 << 20
 #: Lines whose tokens are fetched for comparison are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_LINES = 1_000_000
-#: Prefix tokens of settled classes are broadcast up to this many, and joined by a shuffle beyond.
-BROADCAST_ENTRIES = 300_000
+#: Words whose hash a worker remembers.
+REMEMBERED = 500_000
 
 
-def words(line: Column) -> Column:
-    return F.array_remove(F.split(line, SPACE), "")
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
 
 
-def lines_of(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(doc_id, line_no, line) of every line, blank ones too."""
-    return docs.select(
-        F.col(id_column).alias("doc_id"), F.posexplode(F.split(text_or_empty(text_column), "\n")).alias("line_no", "line")
-    )
-
+_HASHES = _Hashes()
 
-def rarity(docs: DataFrame, text_column: str = "text") -> list[int]:
-    """The level (thirds of a power of two) of each hash bucket's number of words; a list of fixed length."""
-    token = F.explode(F.split(text_or_empty(text_column), r"[\x20\x09-\x0D]+"))
-    counted = docs.select(token.alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).count()
-    level = [0] * BUCKETS
-    for b, n in counted.collect():
-        level[b] = min(127, int(3 * math.log2(n)))
-    return level
 
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
-def token_set(line: Column, rank: list[int]) -> Column:
-    """The distinct tokens of a line as longs whose order is rarity."""
-    levels = F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")
 
-    def code(word: Column) -> Column:
-        h = F.xxhash64(word)
-        bucket = F.pmod(h, F.lit(BUCKETS)).cast("int")
-        return F.shiftleft(F.get(levels, bucket), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit finalizer (splitmix64), to get independent hashes of a token."""
+    x = x.astype(np.uint64) + np.uint64(seed)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    return F.sort_array(F.array_distinct(F.transform(words(line), code)))
 
+def _over_texts(docs: DataFrame, columns: list[Column], make: Callable, schema: str) -> DataFrame:
+    """``make(slice, texts as bytes)`` over slices of bounded text; the text is the last column."""
 
-def parity(tokens: Column) -> tuple[Column, Column]:
-    """The two parts of the parity bitmap of a token set."""
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, batch.num_columns - 1):
+                yield from make(part, [t or b"" for t in texts])
 
-    def flipped(first: int, bits: int) -> Column:
-        def step(acc, t):
-            bit = F.pmod(t, F.lit(LOW_BITS + HIGH_BITS)).cast("int") - first
-            return F.when((bit >= 0) & (bit < bits), acc.bitwiseXOR(F.call_function("shiftleft", one, bit))).otherwise(acc)
+    return docs.select(*columns).mapInArrow(run, schema)
 
-        return F.aggregate(tokens, zero, step)
 
-    return flipped(0, LOW_BITS), flipped(LOW_BITS, HIGH_BITS)
+def rarity(docs: DataFrame, text_column: str = "text") -> np.ndarray:
+    """The level (thirds of a power of two) of each hash bucket's number of words; an array of fixed length."""
 
+    def count(part, texts):
+        each = [_hashed(t.split()) & np.uint64(BUCKETS - 1) for t in texts]
+        b, n = np.unique(np.concatenate(each), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(n.astype(np.int64))], names=["b", "n"])
 
-def prefix_length(n: Column) -> Column:
-    return n - F.floor((4 * n + 4) / 5).cast("int") + 1
+    counted = _over_texts(docs, [F.col(text_column).cast("binary")], count, "b int, n bigint")
+    found = counted.groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    level = np.zeros(BUCKETS, dtype=np.uint8)
+    n = found.column("n").to_numpy()
+    level[found.column("b").to_numpy()] = np.minimum(127, np.ceil(3 * np.log2(np.maximum(n, 1))))
+    return level
 
 
-def index_length(n: Column) -> Column:
+def token_sets(texts: list[bytes], level: np.ndarray, chosen: list | None = None):
+    """(text, line number, n) of each line with a word, or of the chosen lines of each text, and their sorted tokens."""
+    text, number, size, words = [], [], [], []
+    for d, t in enumerate(texts):
+        lines = t.split(b"\n")
+        for k in range(len(lines)) if chosen is None else chosen[d]:
+            found = lines[k].split() if k < len(lines) else None
+            if found:
+                text.append(d)
+                number.append(k)
+                size.append(len(found))
+                words += found
+    h = _hashed(words)
+    code = level[h & np.uint64(BUCKETS - 1)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
+    line = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((code, line))
+    code = code[order]
+    new = np.ones(len(code), dtype=bool)
+    new[1:] = (code[1:] != code[:-1]) | (line[1:] != line[:-1])
+    n = np.bincount(line[new], minlength=len(size))
+    return np.array(text, dtype=np.int64), np.array(number, dtype=np.int32), n, code[new]
+
+
+def prefix_length(n: np.ndarray) -> np.ndarray:
+    return n - (4 * n + 4) // 5 + 1
+
+
+def index_length(n: np.ndarray) -> np.ndarray:
     """Prefix of the smaller set of a pair: the sets share at least 8/9 of it."""
-    return n - F.floor((8 * n + 8) / 9).cast("int") + 1
-
-
-def size_group(n: Column) -> Column:
-    """Groups of sizes by powers of 1.25: the larger set of a pair is in the smaller one's group or the next."""
-    return F.floor(F.log(n.cast("double")) / F.lit(math.log(1.25)) + 1e-9).cast("bigint")
-
-
-def classes(docs: DataFrame, rank: list[int], id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
-    """Lines (doc_id, line_no, h1, h2) and classes (h1, h2, doc_id, line_no, n, sig, sig2, prefix)."""
-    lines = lines_of(docs, id_column, text_column).where(F.length(F.trim(F.translate("line", "\t\x0b\x0c\r", ""))) > 0)
-    signed = lines.select("doc_id", "line_no", token_set(F.col("line"), rank).alias("t"))
-    n = F.size("t")
-    low, high = parity(F.col("t"))
-    each = materialize(
-        signed.select(
-            "doc_id",
-            "line_no",
-            F.xxhash64("t").alias("h1"),
-            F.xxhash64("t", F.lit(1)).alias("h2"),
-            n.alias("n"),
-            F.when(n >= 4, low).alias("sig"),
-            F.when(n >= 4, high).alias("sig2"),
-            # Sets of one to three tokens match no other set.
-            F.when(n >= 4, F.slice("t", 1, prefix_length(n))).alias("prefix"),
-        ),
-        "lines",
-    )
-    first = F.min(F.struct("doc_id", "line_no", "n", "sig", "sig2", "prefix")).alias("f")
-    found = each.groupBy("h1", "h2").agg(first).select("h1", "h2", "f.*")
-    return each.drop("n", "sig", "sig2", "prefix"), materialize(found, "line-classes")
+    return n - (8 * n + 8) // 9 + 1
 
 
-def _entries(found: DataFrame, role: str) -> DataFrame:
-    """A row for each prefix token of each class: key, doc, line and size, bitmap and place, rest of the bitmap.
+def _runs(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of these lengths, one after another: the run of each element and its place in it."""
+    run = np.repeat(np.arange(len(lengths)), lengths)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
-    The row is kept small, for it is what the join shuffles: two numbers share each of two longs.  Roles: ``larger`` and
-    ``smaller`` of a pair, whose keys mix the token with a size group (the smaller one's stands in two), and ``first``, by
-    token alone.  Keys that collide only make a pair more to check.
-    """
-    n = F.col("n")
-    prefix = F.col("prefix") if role == "larger" else F.slice("prefix", 1, index_length(n))
-    place = F.least(F.col("i").cast("bigint"), F.lit((1 << PLACE_BITS) - 1).cast("bigint"))
-    rows = found.where("prefix is not null and doc_id is not null").select(
-        "doc_id",
-        F.shiftleft(F.col("line_no").cast("bigint"), 32).bitwiseOR(n.cast("bigint")).alias("ln"),
-        "sig",
-        "sig2",
-        size_group(n).alias("g"),
-        F.posexplode(prefix).alias("i", "token"),
-    )
-    key = F.col("token")
-    if role == "smaller":
-        rows = rows.withColumn("g", F.explode(F.array(F.col("g"), F.col("g") + 1)))
-    if role != "first":
-        key = F.xxhash64("token", "g")
-    return rows.select(
-        key.alias("key"), F.col("doc_id").alias("doc"), "ln", F.shiftleft("sig", PLACE_BITS).bitwiseOR(place).alias("si"), "sig2"
-    )
 
+def _binary(lengths: np.ndarray, data: bytes) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
-def _named(entries: DataFrame, side: str) -> DataFrame:
-    return entries.select(*(F.col(c).alias(f"{side}_{c}") for c in entries.columns))
 
+LINE = "doc_id bigint, line_no int, h1 bigint, h2 bigint, n int, sig1 bigint, sig2 bigint, skipped int, keys binary"
 
-def _size(x: str) -> Column:
-    return F.col(f"{x}_ln").bitwiseAND(F.lit((1 << 32) - 1).cast("bigint"))
 
+def signed_lines(docs: DataFrame, level: np.ndarray, id_column: str, text_column: str) -> DataFrame:
+    """A row of each line with a word: class key, size, bitmap, and the prefix tokens that others may have."""
 
-def _earlier(a: str, b: str) -> Column:
-    first, second = F.shiftright(f"{a}_ln", 32), F.shiftright(f"{b}_ln", 32)
-    return (F.col(f"{a}_doc") < F.col(f"{b}_doc")) | ((F.col(f"{a}_doc") == F.col(f"{b}_doc")) & (first < second))
+    def sign(part, texts):
+        text, number, n, code = token_sets(texts, level)
+        if not len(n):
+            return
+        starts = np.cumsum(n) - n
+        m = _mixed(code, 1)
+        h1, h2 = np.add.reduceat(m, starts), np.add.reduceat(_mixed(code, 2), starts)
+        bit = np.uint64(1) << (m & np.uint64(63))
+        high = (m >> np.uint64(6) & np.uint64(1)).astype(bool)
+        zero = np.uint64(0)
+        sig1 = np.bitwise_xor.reduceat(np.where(high, zero, bit), starts)
+        sig2 = np.bitwise_xor.reduceat(np.where(high, bit, zero), starts)
+        # Sets of one to three tokens match no other set.
+        run, place = _runs(np.where(n >= 4, prefix_length(n), 0))
+        at = starts[run] + place
+        shared = code[at] >> np.uint64(56) > 0
+        kept = np.bincount(run[shared], minlength=len(n))
+        skipped = np.bincount(run[~shared], minlength=len(n))
+        keys = (m[at[shared]] >> np.uint64(32)).astype("<u4")
+        whole = [x.view(np.int64) for x in (h1, h2, sig1, sig2)]
+        ids = part.column(0).take(pa.array(text))
+        columns = [ids, number, whole[0], whole[1], n.astype(np.int32), whole[2], whole[3], skipped.astype(np.int32)]
+        names = [c.split()[0] for c in LINE.split(", ")]
+        arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]
+        yield pa.RecordBatch.from_arrays([*arrays, _binary(4 * kept, keys.tobytes())], names=names)
+
+    return _over_texts(docs, [F.col(id_column).cast("bigint"), F.col(text_column).cast("binary")], sign, LINE)
+
+
+def classes(lines: DataFrame) -> DataFrame:
+    """A row of each class, at the place of its first line; its other columns are the same on all its lines."""
+    rest = [F.first(c).alias(c) for c in ("n", "sig1", "sig2", "skipped", "keys")]
+    found = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), *rest)
+    return materialize(found.select("h1", "h2", "f.*", *(c for c in lines.columns[4:])), "line-classes")
+
+
+# --- the join ---------------------------------------------------------------------------
+
+#: The packed columns of an entry: token, class place, size, place in the prefix, bitmap, roles (1 earlier, 2 later side).
+PACKED = [("key", "<u4"), ("doc", "<i8"), ("no", "<i4"), ("n", "<i4"), ("place", "<i4"), ("s1", "<u8"), ("s2", "<u8"), ("role", "<u1")]
+
+
+def _pack(columns: dict[str, np.ndarray]) -> bytes:
+    planes = [np.ascontiguousarray(columns[c], dtype=t).view(np.uint8).reshape(-1, int(t[2:])).T.tobytes() for c, t in PACKED]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def _unpack(blobs: list[tuple[int, bytes]]) -> dict[str, np.ndarray]:
+    parts = {c: [] for c, _ in PACKED}
+    width = sum(int(t[2:]) for _, t in PACKED)
+    for n, blob in blobs:
+        raw, at = np.frombuffer(pa.decompress(blob, n * width, codec="zstd"), np.uint8), 0
+        for c, t in PACKED:
+            w = int(t[2:])
+            parts[c].append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).view(t).ravel())
+            at += n * w
+    return {c: np.concatenate(p) for c, p in parts.items()}
+
+
+def _flat_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of a batch one after another, with their row and place."""
+    row, place = _runs(pa.compute.binary_length(column).to_numpy() // 4)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4"), row, place
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key.astype(np.int64) * SLOTS) >> 32
+
+
+def slot_counts(found: DataFrame) -> np.ndarray:
+    """The number of prefix entries of each slot; an array of fixed length."""
+
+    def count(batches):
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(_slot(_flat_keys(batch.column(0))[0]), minlength=SLOTS)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], names=["slot", "n"])
+
+    got = found.select("keys").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(SLOTS, dtype=np.int64)
+    total[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return total
+
+
+def _dealt(found: DataFrame, counts: np.ndarray, wanted: np.ndarray | None) -> DataFrame:
+    """(bucket, entries, packed) of the prefix entries; of the wanted slots alone, if given."""
+    shares = np.ceil(counts / (BUCKET_ENTRIES / 2)).astype(np.int64)
+    whole = np.cumsum(np.where(shares > 1, 0, counts)) // BUCKET_ENTRIES
+    # A split slot has a grid of buckets of its own, behind the others: shares of its earlier sides by shares of its later ones.
+    grid = np.where(shares > 1, shares * shares, 0)
+    first = whole[-1] + 1 + np.cumsum(grid) - grid
+
+    def deal(batches):
+        for batch in batches:
+            key, row, place = _flat_keys(batch.column(7))
+            doc, no, n, s1, s2, skipped, later = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            slot = _slot(key)
+            use = np.ones(len(key), dtype=bool) if wanted is None else wanted[slot]
+            split = use & (shares[slot] > 1)
+            # (entry, bucket, whether it is an earlier and a later side there)
+            plain = np.flatnonzero(use & ~split)
+            parts = [(plain, whole[slot[plain]], np.ones(len(plain), dtype=bool), np.ones(len(plain), dtype=bool))]
+            hot = np.flatnonzero(split)
+            if len(hot):
+                # A row of the grid as an earlier side, a column as a later one, both where they cross.
+                many = shares[slot[hot]]
+                of, cell = _runs(2 * many)
+                entry, many = hot[of], many[of]
+                places = _mixed(_mixed(doc[row[entry]].view(np.uint64), 3) ^ no[row[entry]].astype(np.uint64), 4)
+                home = (places % many.astype(np.uint64)).astype(np.int64)
+                first_side, other = cell < many, cell % many
+                bucket = first[slot[entry]] + np.where(first_side, home * many + other, other * many + home)
+                once = first_side | (other != home)
+                both = other == home
+                parts.append((entry[once], bucket[once], first_side[once], (~first_side | both)[once]))
+            entry, bucket, earlier, behind = (np.concatenate(x) for x in zip(*parts, strict=True))
+            role = earlier.astype(np.uint8) | np.where(behind & later[row[entry]], 2, 0).astype(np.uint8)
+            entry, bucket, role = entry[role > 0], bucket[role > 0], role[role > 0]
+            order = np.lexsort((key[entry], bucket))
+            entry, bucket, role = entry[order], bucket[order], role[order]
+            r = row[entry]
+            columns = {"key": key[entry], "doc": doc[r], "no": no[r], "n": n[r], "place": place[entry] + skipped[r], "role": role}
+            columns |= {"s1": s1[r].view(np.uint64), "s2": s2[r].view(np.uint64)}
+            found_buckets, starts = np.unique(bucket, return_index=True)
+            ends = [*starts[1:], len(bucket)]
+            blobs = [_pack({c: x[a:b] for c, x in columns.items()}) for a, b in zip(starts, ends, strict=True)]
+            sizes = np.array(ends, dtype=np.int64) - starts
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found_buckets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())],
+                names=["bucket", "entries", "packed"],
+            )
+
+    chosen = found.where("doc_id is not null and length(keys) > 0")
+    return chosen.select("doc_id", "line_no", "n", "sig1", "sig2", "skipped", "later", "keys").mapInArrow(
+        deal, "bucket bigint, entries bigint, packed binary"
+    )
 
 
-def _possible(a: str, b: str) -> Column:
-    """Length, positional and bitmap filters for two entries that share a token.
+def _possible(e: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of entries (a the earlier) of one token pass the role, length, positional and bitmap filters.
 
     Sets that match differ in at most a ninth of their summed sizes.  For the first
     token that they share, all tokens before it, on either side, are such differences.
     """
-
-    def place(x):
-        return F.col(f"{x}_si").bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("bigint"))
-
-    na, nb = _size(a), _size(b)
-    length = 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
-    positional = 9 * (place(a) + place(b)) <= na + nb
-    low = F.bit_count(F.shiftrightunsigned(F.col(f"{a}_si").bitwiseXOR(F.col(f"{b}_si")), PLACE_BITS))
-    high = F.bit_count(F.col(f"{a}_sig2").bitwiseXOR(F.col(f"{b}_sig2")))
-    return length & positional & (9 * (low + high) <= na + nb)
-
-
-def _pair(a: str, b: str) -> list[Column]:
-    return [c for x in (a, b) for c in (F.col(f"{x}_doc"), F.shiftright(f"{x}_ln", 32).cast("int").alias(f"{x}_no"))]
-
-
-def _matching(pairs: DataFrame, docs: DataFrame, rank: list[int], id_column: str, text_column: str) -> DataFrame:
-    """The pairs (a_doc, a_no, b_doc, b_no, ...) whose whole sets match."""
-    needed = materialize(
-        pairs.select(F.col("a_doc").alias("doc"), F.col("a_no").alias("no"))
-        .union(pairs.select("b_doc", "b_no"))
-        .distinct()
-        .groupBy("doc")
-        .agg(F.collect_list("no").alias("nos")),
-        "lines-needed",
-    )
+    na, nb = e["n"][a], e["n"][b]
+    both = na + nb
+    small = np.where(na <= nb, e["indexed"][a], e["indexed"][b])
+    ok = small & (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)) & (9 * (e["place"][a] + e["place"][b]) <= both)
+    at = np.flatnonzero(ok)
+    a, b = a[at], b[at]
+    differ = np.bitwise_count(e["s1"][a] ^ e["s1"][b]).astype(np.int64) + np.bitwise_count(e["s2"][a] ^ e["s2"][b])
+    return at[9 * differ <= both[at]]
+
+
+def meet(e: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b) of entries, the earlier first, that may match; and whether b left candidates unseen.
+
+    Sizes are grouped by powers of 1.25, so that sets that match are in one group or
+    in neighbours.  Each entry meets the earlier ones of its token and those groups in
+    their order, in steps, until it has ``most`` candidates of a group.
+    """
+    e["n"] = e["n"].astype(np.int64)
+    e["indexed"] = e["place"] < index_length(e["n"])
+    by_place = np.lexsort((e["no"], e["doc"]))
+    new = np.ones(len(by_place), dtype=bool)
+    new[1:] = (np.diff(e["doc"][by_place]) != 0) | (np.diff(e["no"][by_place]) != 0)
+    rank = np.empty(len(by_place), dtype=np.int64)
+    rank[by_place] = np.cumsum(new)
+    group = 1 + np.minimum(61, np.floor(np.log(e["n"]) / math.log(1.25) + 1e-9)).astype(np.int64)
+    head = (e["key"].astype(np.int64) << 6 | group) << 25
+    listed = np.flatnonzero(e["role"] & 1)
+    listed = listed[np.argsort(head[listed] | rank[listed], kind="stable")]
+    sorted_codes = head[listed] | rank[listed]
+    later = np.flatnonzero(e["role"] & 2)
+    lo, hi, who = [], [], []
+    for step in (-1, 0, 1):
+        base = head[later] + (step << 25)
+        a, b = np.searchsorted(sorted_codes, base), np.searchsorted(sorted_codes, base | rank[later])
+        some = a < b
+        lo.append(a[some])
+        hi.append(b[some])
+        who.append(later[some])
+    lo, hi, who = np.concatenate(lo), np.concatenate(hi), np.concatenate(who)
+    seen = np.zeros(len(lo), dtype=np.int64)
+    more = np.zeros(len(by_place) + 1, dtype=bool)
+    pairs, width = [np.empty(0, np.int64)], 16
+    while len(lo):
+        take = np.minimum(hi - lo, width)
+        ends = np.cumsum(take)
+        start = 0
+        while start < len(take):
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + FLAT, "right")))
+            query, place = _runs(take[start:end])
+            query += start
+            a, b = listed[lo[query] + place], who[query]
+            ok = _possible(e, a, b)
+            query = query[ok]
+            kept = np.arange(len(query)) - np.searchsorted(query, query) + seen[query] < most
+            more[rank[who[query[~kept]]]] = True
+            pairs.append(np.unique(rank[a[ok[kept]]] << 32 | rank[b[ok[kept]]]))
+            seen[start:end] += np.bincount(query - start, minlength=end - start)
+            start = end
+        lo = lo + take
+        full = (seen >= most) & (lo < hi)
+        more[rank[who[full]]] = True
+        on = (lo < hi) & ~full
+        lo, hi, who, seen = lo[on], hi[on], who[on], seen[on]
+        width = min(4 * width, FLAT)
+    found = np.unique(np.concatenate(pairs))
+    place_of = np.zeros(len(by_place) + 1, dtype=np.int64)
+    place_of[rank] = np.arange(len(rank))
+    a, b = found >> 32, found & ((1 << 32) - 1)
+    return place_of[a], place_of[b], more[b]
+
+
+PAIR = "a_doc bigint, a_no int, b_doc bigint, b_no int"
+
+
+def candidates(found: DataFrame, counts: np.ndarray, most: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """Pairs of classes that may match, and whether the later one left candidates unseen."""
+
+    def run(table: pa.Table) -> pa.Table:
+        e = _unpack(list(zip(table.column("entries").to_pylist(), table.column("packed").to_pylist(), strict=True)))
+        a, b, more = meet(e, most)
+        arrays = [e["doc"][a], e["no"][a], e["doc"][b], e["no"][b], more]
+        return pa.table([pa.array(x) for x in arrays], names=["a_doc", "a_no", "b_doc", "b_no", "more"])
+
+    met = _dealt(found, counts, wanted).groupBy("bucket").applyInArrow(run, PAIR + ", more boolean")
+    pairs = met.groupBy("a_doc", "a_no", "b_doc", "b_no").agg(F.max("more").alias("more"))
+    return materialize(pairs, "line-pairs")
+
+
+def matching(pairs: DataFrame, docs: DataFrame, level: np.ndarray, id_column: str, text_column: str) -> DataFrame:
+    """(b_doc, b_no) of the pairs whose whole sets match."""
+    needed = pairs.select(F.col("a_doc").alias("doc"), F.col("a_no").alias("no")).union(pairs.select("b_doc", "b_no"))
+    needed = materialize(needed.distinct().groupBy("doc").agg(F.collect_list("no").alias("nos")), "lines-needed")
     few = needed.agg(F.coalesce(F.sum(F.size("nos")), F.lit(0))).first()[0] <= BROADCAST_LINES
-    texts = docs.select(F.col(id_column).alias("_d"), text_or_empty(text_column).alias("_t"))
+    texts = docs.select(F.col(id_column).cast("bigint").alias("_d"), F.col(text_column).cast("binary").alias("_t"))
     chosen = texts.join(F.broadcast(needed) if few else needed, F.col("_d") == F.col("doc"))
-    lines = chosen.select("doc", F.explode("nos").alias("no"), F.split("_t", "\n").alias("all"))
-    sets = lines.select("doc", "no", token_set(F.get("all", F.col("no")), rank).alias("t")).dropDuplicates(["doc", "no"])
-    left = sets.toDF("l_doc", "l_no", "l_t")
-    right = sets.toDF("r_doc", "r_no", "r_t")
+
+    def fetch(part, found):
+        text, number, n, code = token_sets(found, level, part.column(1).to_pylist())
+        offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        sets = pa.ListArray.from_arrays(offsets, pa.array(code.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(number), sets], names=["doc", "no", "t"])
+
+    sets = _over_texts(chosen, [F.col("doc"), F.col("nos"), F.col("_t")], fetch, "doc bigint, no int, t array<bigint>")
+    sets = sets.dropDuplicates(["doc", "no"])
+    left, right = sets.toDF("l_doc", "l_no", "l_t"), sets.toDF("r_doc", "r_no", "r_t")
     both = pairs.join(left, (F.col("a_doc") == F.col("l_doc")) & (F.col("a_no") == F.col("l_no"))).join(
         right, (F.col("b_doc") == F.col("r_doc")) & (F.col("b_no") == F.col("r_no"))
     )
     shared = F.size(F.array_intersect("l_t", "r_t"))
-    return both.where(9 * shared >= 4 * (F.size("l_t") + F.size("r_t"))).select(*pairs.columns)
+    return both.where(9 * shared >= 4 * (F.size("l_t") + F.size("r_t"))).select("b_doc", "b_no").distinct()
 
 
-def removed_classes(docs: DataFrame, found: DataFrame, rank: list[int], id_column="doc_id", text_column="text") -> DataFrame:
+def removed_classes(docs: DataFrame, found: DataFrame, level: np.ndarray, id_column="doc_id", text_column="text") -> DataFrame:
     """(x_doc, x_no): the first places of the classes that an earlier class matches."""
-    # First the earliest class of each token's list.
-    entries = _entries(found, "first")
-    columns = ("doc", "ln", "si", "sig2")
-    least = F.min(F.struct(*columns)).over(Window.partitionBy("key"))
-    met = _named(entries.withColumn("first", least), "b").select(
-        *(f"b_{c}" for c in columns), *(F.col(f"b_first.{c}").alias(f"a_{c}") for c in columns)
-    )
-    first = materialize(met.where(_earlier("a", "b") & _possible("a", "b")).select(*_pair("a", "b")).distinct(), "line-pairs")
-    settled = materialize(
-        _matching(first, docs, rank, id_column, text_column).select("b_doc", "b_no").distinct(), "lines-settled"
-    )
-    # Then every earlier class, for those that are left: pairs of a smaller and a larger set, without two settled ones.
-    marked = found.join(settled, (F.col("doc_id") == F.col("b_doc")) & (F.col("line_no") == F.col("b_no")), "left").withColumn(
-        "settled", F.col("b_doc").isNotNull()
-    )
-    marked = materialize(marked.where("prefix is not null").drop("b_doc", "b_no", "h1", "h2"), "lines-marked")
-    opened, closed = marked.where("not settled"), marked.where("settled")
-    large = _named(_entries(marked, "larger"), "y")
-    met = _named(_entries(opened, "smaller"), "x").join(large, _met())
-    few = _entries(closed, "smaller")
-    few = _named(checked(few, "entries-settled", BROADCAST_ENTRIES), "x")
-    met = met.unionByName(few.join(_named(_entries(opened, "larger"), "y"), _met()))
-    earlier = _earlier("x", "y")
-    second = met.select(
-        *(F.when(earlier, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(f"a_{c}") for c in ("doc", "ln")),
-        *(F.when(earlier, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")).alias(f"b_{c}") for c in ("doc", "ln")),
-    )
-    second = materialize(second.select(*_pair("a", "b")).distinct(), "line-pairs")
-    late = _matching(second, docs, rank, id_column, text_column).select("b_doc", "b_no").distinct()
-    return settled.union(late).distinct().toDF("x_doc", "x_no")
-
-
-def _met() -> Column:
-    """A smaller set x and a larger set y (of two alike, the earlier is x) share a key and may match."""
-    larger = (_size("x") < _size("y")) & (_earlier("x", "y") | _earlier("y", "x"))
-    order = larger | ((_size("x") == _size("y")) & _earlier("x", "y"))
-    return (F.col("x_key") == F.col("y_key")) & order & _possible("x", "y")
+    counts = slot_counts(found)
+    pairs = candidates(found.withColumn("later", F.lit(True)), counts, EARLIEST)
+    gone = materialize(matching(pairs, docs, level, id_column, text_column), "lines-gone")
+    names = ["b_doc", "b_no"]
+    unsure = materialize(pairs.where("more").select(*names).distinct().join(gone, names, "left_anti"), "lines-unsure")
+    if unsure.head(1):
+        here = (F.col("doc_id") == F.col("b_doc")) & (F.col("line_no") == F.col("b_no"))
+        marked = found.join(unsure, here, "left").withColumn("later", F.col("b_doc").isNotNull()).drop(*names)
+        wanted = slot_counts(marked.where("later")) > 0
+        rest = candidates(marked, counts, ALL, wanted)
+        gone = gone.union(matching(rest, docs, level, id_column, text_column))
+    return gone.toDF("x_doc", "x_no")
 
 
 def decisions(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -272,9 +447,10 @@ def decisions(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     class_doc and class_no are the place of the first line with the same tokens.
     """
-    rank = rarity(docs, text_column)
-    lines, found = classes(docs, rank, id_column, text_column)
-    gone = removed_classes(docs, found, rank, id_column, text_column)
+    level = rarity(docs, text_column)
+    lines = materialize(signed_lines(docs, level, id_column, text_column), "lines")
+    found = classes(lines)
+    gone = removed_classes(docs, found, level, id_column, text_column)
     marked = found.join(gone, (F.col("doc_id") == F.col("x_doc")) & (F.col("line_no") == F.col("x_no")), "left").select(
         F.col("h1").alias("c_h1"),
         F.col("h2").alias("c_h2"),

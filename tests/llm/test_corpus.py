@@ -232,7 +232,7 @@ def test_mixing_targets():
     assert [p.source for p in plans] == ["a", "b", None] and plans[1].target == 30 and plans[2].target == 0 and plans[0].target == 980
 
 
-def test_line_dedup(docs, rows, empty):
+def test_line_dedup(docs, rows, empty, monkeypatch):
     lines = []
     for i, t in sorted({(i, t or "") for i, t in rows}):
         lines += [((i, k), frozenset(re.findall(r"[^\x20\x09-\x0D]+", x))) for k, x in enumerate(t.split("\n"))]
@@ -245,6 +245,10 @@ def test_line_dedup(docs, rows, empty):
     assert len(got) == len(rows)
     found = {(r["doc_id"], int(k)) for r in got for k in r["removed_lines"].split(",") if k}
     assert found == gone
+    # Tokens split over grids of buckets, and a second round for what the first leaves open.
+    monkeypatch.setattr(linededup, "BUCKET_ENTRIES", 30)
+    monkeypatch.setattr(linededup, "EARLIEST", 1)
+    assert sorted(map(tuple, linededup.digest(docs).collect())) == sorted(map(tuple, got))
     assert linededup.digest(empty).count() == 0
     assert linededup.dedup(docs).count() == len(rows)
 
