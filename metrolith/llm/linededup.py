@@ -47,7 +47,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,23 +65,10 @@ ALL = 1 << 62
 FLAT = 1 << 20
 #: Lines whose tokens are fetched for comparison are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_LINES = 1_000_000
-#: Words whose hash a worker remembers.
-REMEMBERED = 500_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_HASHES = _Hashes()
-
-
-def _hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+#: Bytes of text that are hashed at a time, up to the end of a word.
+HASHED = 1 << 16
+#: Places of a word with a hash table of their own; later places reuse them, multiplied.
+PLACES = 64
 
 
 def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -93,13 +79,42 @@ def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_TABLE = _mixed(np.arange(PLACES * 256, dtype=np.uint64), 0x9E3779B97F4A7C15)
+_IS_WORD = np.ones(256, dtype=bool)
+_IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+
+
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The start and the 64-bit hash of each word: a sum of table entries by place and byte, then mixed."""
+    raw = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(raw) + 2, dtype=bool)
+    inside[1:-1] = _IS_WORD[raw]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, lengths = edge[::2], edge[1::2] - edge[::2]
+    hashed = np.empty(len(starts), dtype=np.uint64)
+    ends, begin = np.cumsum(lengths), 0
+    while begin < len(starts):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + HASHED, "right")))
+        some = lengths[begin:end]
+        first = np.cumsum(some) - some
+        place = np.arange(first[-1] + some[-1], dtype=np.int32) - np.repeat(first.astype(np.int32), some)
+        span = slice(starts[begin], starts[end - 1] + some[-1])
+        byte = raw[span][inside[1:-1][span]]
+        value = _TABLE[(place & (PLACES - 1)) << 8 | byte]
+        if some.max() > PLACES:
+            value *= _mixed(place // PLACES, 5) | np.uint64(1)
+        hashed[begin:end] = np.add.reduceat(value, first)
+        begin = end
+    return starts, _mixed(hashed, 6)
+
+
 def _over_texts(docs: DataFrame, columns: list[Column], make: Callable, schema: str) -> DataFrame:
     """``make(slice, texts as bytes)`` over slices of bounded text; the text is the last column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, batch.num_columns - 1):
-                yield from make(part, [t or b"" for t in texts])
+                yield make(part, [t or b"" for t in texts])
 
     return docs.select(*columns).mapInArrow(run, schema)
 
@@ -107,12 +122,16 @@ def _over_texts(docs: DataFrame, columns: list[Column], make: Callable, schema:
 def rarity(docs: DataFrame, text_column: str = "text") -> np.ndarray:
     """The level (thirds of a power of two) of each hash bucket's number of words; an array of fixed length."""
 
-    def count(part, texts):
-        each = [_hashed(t.split()) & np.uint64(BUCKETS - 1) for t in texts]
-        b, n = np.unique(np.concatenate(each), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(n.astype(np.int64))], names=["b", "n"])
+    def count(batches):
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        for batch in batches:
+            for _, texts in slices(batch, 0):
+                _, h = _words(b"\n".join(t or b"" for t in texts))
+                total += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        b = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(total[b])], names=["b", "n"])
 
-    counted = _over_texts(docs, [F.col(text_column).cast("binary")], count, "b int, n bigint")
+    counted = docs.select(F.col(text_column).cast("binary")).mapInArrow(count, "b int, n bigint")
     found = counted.groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     level = np.zeros(BUCKETS, dtype=np.uint8)
     n = found.column("n").to_numpy()
@@ -120,27 +139,39 @@ def rarity(docs: DataFrame, text_column: str = "text") -> np.ndarray:
     return level
 
 
-def token_sets(texts: list[bytes], level: np.ndarray, chosen: list | None = None):
-    """(text, line number, n) of each line with a word, or of the chosen lines of each text, and their sorted tokens."""
-    text, number, size, words = [], [], [], []
-    for d, t in enumerate(texts):
-        lines = t.split(b"\n")
-        for k in range(len(lines)) if chosen is None else chosen[d]:
-            found = lines[k].split() if k < len(lines) else None
-            if found:
-                text.append(d)
-                number.append(k)
-                size.append(len(found))
-                words += found
-    h = _hashed(words)
-    code = level[h & np.uint64(BUCKETS - 1)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
-    line = np.repeat(np.arange(len(size)), size)
-    order = np.lexsort((code, line))
-    code = code[order]
+def token_sets(texts: list[bytes], level: np.ndarray):
+    """(text, line number, n) of each line with a word, and the sorted tokens of all, one line after another."""
+    joined = b"\n".join(texts)
+    starts, h = _words(joined)
+    breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
+    # The place of each text, and how many lines stand before it.
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    begins = np.cumsum(sizes) - sizes
+    before = np.searchsorted(breaks, begins)
+    row = np.searchsorted(breaks, starts)
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = row[1:] != row[:-1]
+    line = np.cumsum(new) - 1
+    text = np.searchsorted(begins, starts[new], "right") - 1
+    number = row[new] - before[text]
+    bucket = (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+    code = level[bucket].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
+    order = _by_line(line, code)
+    code, line = code[order], line[order]
     new = np.ones(len(code), dtype=bool)
     new[1:] = (code[1:] != code[:-1]) | (line[1:] != line[:-1])
-    n = np.bincount(line[new], minlength=len(size))
-    return np.array(text, dtype=np.int64), np.array(number, dtype=np.int32), n, code[new]
+    return text, number.astype(np.int32), np.bincount(line[new], minlength=len(text)), code[new]
+
+
+def _by_line(line: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The order by line and code.  One sort of the line and the upper 43 bits of the code, if these tell codes apart."""
+    if len(line) and line[-1] < 1 << 20:
+        short = line.astype(np.uint64) << np.uint64(44) | code >> np.uint64(19)
+        order = np.argsort(short)
+        short, full = short[order], code[order]
+        if not ((short[1:] == short[:-1]) & (full[1:] != full[:-1])).any():
+            return order
+    return np.lexsort((code, line))
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -171,16 +202,15 @@ def signed_lines(docs: DataFrame, level: np.ndarray, id_column: str, text_column
 
     def sign(part, texts):
         text, number, n, code = token_sets(texts, level)
-        if not len(n):
-            return
         starts = np.cumsum(n) - n
         m = _mixed(code, 1)
-        h1, h2 = np.add.reduceat(m, starts), np.add.reduceat(_mixed(code, 2), starts)
+        h1, h2 = (np.add.reduceat(x, starts) if len(n) else x for x in (m, _mixed(code, 2)))
         bit = np.uint64(1) << (m & np.uint64(63))
         high = (m >> np.uint64(6) & np.uint64(1)).astype(bool)
         zero = np.uint64(0)
-        sig1 = np.bitwise_xor.reduceat(np.where(high, zero, bit), starts)
-        sig2 = np.bitwise_xor.reduceat(np.where(high, bit, zero), starts)
+        sig1, sig2 = (
+            np.bitwise_xor.reduceat(x, starts) if len(n) else x for x in (np.where(high, zero, bit), np.where(high, bit, zero))
+        )
         # Sets of one to three tokens match no other set.
         run, place = _runs(np.where(n >= 4, prefix_length(n), 0))
         at = starts[run] + place
@@ -193,7 +223,7 @@ def signed_lines(docs: DataFrame, level: np.ndarray, id_column: str, text_column
         columns = [ids, number, whole[0], whole[1], n.astype(np.int32), whole[2], whole[3], skipped.astype(np.int32)]
         names = [c.split()[0] for c in LINE.split(", ")]
         arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]
-        yield pa.RecordBatch.from_arrays([*arrays, _binary(4 * kept, keys.tobytes())], names=names)
+        return pa.RecordBatch.from_arrays([*arrays, _binary(4 * kept, keys.tobytes())], names=names)
 
     return _over_texts(docs, [F.col(id_column).cast("bigint"), F.col(text_column).cast("binary")], sign, LINE)
 
@@ -411,10 +441,15 @@ def matching(pairs: DataFrame, docs: DataFrame, level: np.ndarray, id_column: st
     chosen = texts.join(F.broadcast(needed) if few else needed, F.col("_d") == F.col("doc"))
 
     def fetch(part, found):
-        text, number, n, code = token_sets(found, level, part.column(1).to_pylist())
+        nos = part.column(1).to_pylist()
+        whole = [t.split(b"\n") for t in found]
+        # The lines asked for; a repeated id may bring a text without them.
+        at = [(d, k) for d, ks in enumerate(nos) for k in ks if k < len(whole[d])]
+        which, _, n, code = token_sets([whole[d][k] for d, k in at], level)
+        text, number = (np.array([at[w][x] for w in which], dtype=np.int64) for x in (0, 1))
         offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
         sets = pa.ListArray.from_arrays(offsets, pa.array(code.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(number), sets], names=["doc", "no", "t"])
+        return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(number.astype(np.int32)), sets], names=["doc", "no", "t"])
 
     sets = _over_texts(chosen, [F.col("doc"), F.col("nos"), F.col("_t")], fetch, "doc bigint, no int, t array<bigint>")
     sets = sets.dropDuplicates(["doc", "no"])
