@@ -54,6 +54,8 @@ from ._common import materialize, slices
 
 #: Buckets of the word counts; a bucket's level counts thirds of a power of two, 0 for a single word.
 BUCKETS = 1 << 20
+#: Buckets whose counts are summed together.
+CHUNK = 1 << 10
 #: Slots of prefix tokens (their upper bits), counted to size the join's buckets.
 SLOTS = 1 << 18
 #: Prefix entries of a bucket of the join, about; a slot with more than half of it is split.
@@ -128,15 +130,24 @@ def rarity(docs: DataFrame, text_column: str = "text") -> np.ndarray:
             for _, texts in slices(batch, 0):
                 _, h = _words(b"\n".join(t or b"" for t in texts))
                 total += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        b = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(total[b])], names=["b", "n"])
+        packed = [pa.compress(x, codec="zstd", asbytes=True) for x in total.reshape(-1, CHUNK)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(packed)), pa.int32()), pa.array(packed)], names=["chunk", "packed"])
 
-    counted = docs.select(F.col(text_column).cast("binary")).mapInArrow(count, "b int, n bigint")
-    found = counted.groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-    level = np.zeros(BUCKETS, dtype=np.uint8)
-    n = found.column("n").to_numpy()
-    level[found.column("b").to_numpy()] = np.minimum(127, np.ceil(3 * np.log2(np.maximum(n, 1))))
-    return level
+    def add(batches):
+        total = {}
+        for batch in batches:
+            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts = np.frombuffer(pa.decompress(packed, 8 * CHUNK, codec="zstd"), np.int64)
+                total[chunk] = total[chunk] + counts if chunk in total else counts
+        level = [np.minimum(127, np.ceil(3 * np.log2(np.maximum(n, 1)))).astype(np.uint8).tobytes() for n in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(level, pa.binary())], names=["chunk", "level"])
+
+    counted = docs.select(F.col(text_column).cast("binary")).mapInArrow(count, "chunk int, packed binary")
+    found = counted.repartition("chunk").mapInArrow(add, "chunk int, level binary").collect()
+    level = np.zeros((BUCKETS // CHUNK, CHUNK), dtype=np.uint8)
+    for chunk, one in found:
+        level[chunk] = np.frombuffer(one, np.uint8)
+    return level.ravel()
 
 
 def token_sets(texts: list[bytes], level: np.ndarray):
@@ -354,6 +365,19 @@ def _possible(e: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndar
     return at[9 * differ <= both[at]]
 
 
+def _ranks(doc: np.ndarray, no: np.ndarray) -> np.ndarray:
+    """Ranks from 1 by document and line; equal places have equal ranks."""
+    if len(doc) and int(doc.max()) - int(doc.min()) < 1 << 38 and no.max() < 1 << 25:
+        by_place = np.argsort((doc - doc.min()) << 25 | no)
+    else:
+        by_place = np.lexsort((no, doc))
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[by_place][1:] != doc[by_place][:-1]) | (no[by_place][1:] != no[by_place][:-1])
+    rank = np.empty(len(doc), dtype=np.int64)
+    rank[by_place] = np.cumsum(new)
+    return rank
+
+
 def meet(e: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (a, b) of entries, the earlier first, that may match; and whether b left candidates unseen.
 
@@ -363,15 +387,14 @@ def meet(e: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, n
     """
     e["n"] = e["n"].astype(np.int64)
     e["indexed"] = e["place"] < index_length(e["n"])
-    by_place = np.lexsort((e["no"], e["doc"]))
-    new = np.ones(len(by_place), dtype=bool)
-    new[1:] = (np.diff(e["doc"][by_place]) != 0) | (np.diff(e["no"][by_place]) != 0)
-    rank = np.empty(len(by_place), dtype=np.int64)
-    rank[by_place] = np.cumsum(new)
+    rank = _ranks(e["doc"], e["no"])
     group = 1 + np.minimum(61, np.floor(np.log(e["n"]) / math.log(1.25) + 1e-9)).astype(np.int64)
     head = (e["key"].astype(np.int64) << 6 | group) << 25
+    # All is looked up in this order, neighbours by neighbours.
+    order = np.argsort(head | rank)
+    head, rank = head[order], rank[order]
+    e |= {c: x[order] for c, x in e.items()}
     listed = np.flatnonzero(e["role"] & 1)
-    listed = listed[np.argsort(head[listed] | rank[listed], kind="stable")]
     sorted_codes = head[listed] | rank[listed]
     later = np.flatnonzero(e["role"] & 2)
     lo, hi, who = [], [], []
@@ -384,7 +407,7 @@ def meet(e: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, n
         who.append(later[some])
     lo, hi, who = np.concatenate(lo), np.concatenate(hi), np.concatenate(who)
     seen = np.zeros(len(lo), dtype=np.int64)
-    more = np.zeros(len(by_place) + 1, dtype=bool)
+    more = np.zeros(len(rank) + 1, dtype=bool)
     pairs, width = [np.empty(0, np.int64)], 16
     while len(lo):
         take = np.minimum(hi - lo, width)
@@ -409,7 +432,7 @@ def meet(e: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, n
         lo, hi, who, seen = lo[on], hi[on], who[on], seen[on]
         width = min(4 * width, FLAT)
     found = np.unique(np.concatenate(pairs))
-    place_of = np.zeros(len(by_place) + 1, dtype=np.int64)
+    place_of = np.zeros(len(rank) + 1, dtype=np.int64)
     place_of[rank] = np.arange(len(rank))
     a, b = found >> 32, found & ((1 << 32) - 1)
     return place_of[a], place_of[b], more[b]
