@@ -1,13 +1,16 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are ``\\w+`` of the lower-cased text.  A seed is a fixed mask over ``SPAN``
-word positions; the positions it ignores may differ.  Every window of every test
-item is hashed under each mask, every window of every training document too, and
-equal hashes join a document place with an item place.  Around each hit the two
-texts are compared word by word along the hit's diagonal and extended both ways
-while matches outweigh substitutions; the overlap counts when it holds at least
-``min_words`` matching words (or the whole of a shorter item) at a share of at
-least ``min_identity``.
+Words are ``\\w+`` of the lower-cased text.  An overlap is a stretch of a document
+and an equally long one of a test item that hold at least ``min_words`` matching
+words (or the whole of a shorter item) at a share of at least ``min_identity``.
+
+A seed is a fixed mask over word positions; the positions it ignores may differ.
+Every window of every test item is hashed under each mask, every window of every
+training document too, and equal hashes join a document place with an item place.
+The masks are the first family of ``FAMILIES`` without which no overlap can be:
+``lossless`` proves it for the asked criterion, whatever the overlap's length and
+wherever its substitutions stand.  Along each hit's diagonal all stretches are
+weighed, and that with the most matching words is taken.
 
 The test side is a stated query set: it is hashed on the driver in blocks of at
 most ``block_words`` words, so what is broadcast has a fixed bound, and larger
@@ -15,7 +18,7 @@ benchmarks take more passes over the documents, not more memory.  Documents are
 never shuffled.
 
 Defined cases: null and empty texts (documents or items) never match; items
-shorter than a seed's span are hashed whole and match exactly; repeated rows are
+of at most ``min_words`` words match exactly; repeated rows are
 each reported; ties between overlaps of an item go to the one with more matching
 words, then the earlier; an empty table on either side gives no rows (``clean``
 then keeps all documents); other columns are ignored.
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +37,17 @@ from pyspark.sql import functions as F
 
 from ._common import checked, slices
 
-#: Fixed masks: 1 is compared, 0 is ignored.  Weight 8 over a span of 12 words.
-MASKS = ("110110110101", "101011011011", "111001110110")
-SPAN = 12
+#: Families of masks: 1 is compared, 0 is ignored.  The first loses nothing at 12
+#: words and 75 %, later ones at less; a single word is in every overlap.
+FAMILIES = (("10111", "1001011"), ("1101",), ("11",), ("1",))
 MIN_WORDS = 12
 MIN_IDENTITY = 0.75
 #: Words of test items that one pass holds; also the bound of what is broadcast.
 BLOCK_WORDS = 2_000_000
-#: An extension ends when its score falls this far below its best.
-DROP = 6
-#: What a substituted word costs, a matching word being worth 1.
-SUBSTITUTION = 2
+#: Words compared at once, and seed hits held at once.
+CHUNK = 1_000_000
+#: What rounding may take from a share.
+EPSILON = 1e-9
 
 WORD = re.compile(r"\w+")
 #: Odd multipliers, one for each position of a mask.
@@ -67,11 +71,54 @@ def mask_hash(ids: np.ndarray, mask: str, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def lossless(masks: tuple[str, ...], min_words: int, min_identity: float) -> bool:
+    """Whether every overlap by the criterion holds a hit of one of the masks.
+
+    An overlap is read as a string of matches and substitutions.  For each of its
+    last words and number of matches (up to ``min_words``), the best balance of
+    matches against substitutions that a string without a hit can have is followed
+    until it settles; a balance of 0 at ``min_words`` matches is an overlap lost.
+    """
+    size, least = 1 << (max(map(len, masks)) - 1), max(1, min_words)
+    cost = min_identity / (1 - min_identity) if min_identity < 1 else 1e9
+    seen = np.arange(2 * size)
+    hit = np.zeros(2 * size, dtype=bool)
+    for mask in masks:
+        hit |= (seen & int(mask, 2)) == int(mask, 2)
+    best = np.full((size, least + 1), -np.inf)
+    best[0, 0] = 0
+    for _ in range(100 * least):
+        after = best.copy()
+        for same in (0, 1):
+            ends = np.arange(size) << 1 | same
+            free = ~hit[ends]
+            if same:
+                moved = np.full((int(free.sum()), least + 1), -np.inf)
+                moved[:, 1:] = best[free, :-1] + 1
+                moved[:, -1] = np.maximum(moved[:, -1], best[free, -1] + 1)
+            else:
+                moved = best[free] - cost
+            np.maximum.at(after, ends[free] & (size - 1), moved)
+        if (after[:, least] >= -EPSILON).any():
+            return False
+        if (after == best).all():
+            return True
+        best = after
+    return False
+
+
+@lru_cache(16)
+def masks_for(min_words: int, min_identity: float) -> tuple[str, ...]:
+    return next((f for f in FAMILIES if lossless(f, min_words, min_identity)), FAMILIES[-1])
+
+
 class SeedIndex:
     """The hashed windows of one block of test items, sorted for a join by search."""
 
-    def __init__(self, items: list[tuple[object, str]], masks=MASKS):
-        self.masks = masks
+    def __init__(self, items: list[tuple[object, str]], min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY):
+        self.min_words, self.min_identity = max(1, min_words), min_identity
+        masks = masks_for(self.min_words, min_identity)
+        span = max(map(len, masks))
         self.item_ids, self.vocabulary = [], {}
         ids, self.begins, self.lengths = [], [], []
         for item_id, text in items:
@@ -82,11 +129,17 @@ class SeedIndex:
                 self.lengths.append(len(found))
                 ids += [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found]
         self.ids = np.array(ids, dtype=np.int64)
+        of_length: dict[int, list[int]] = {}
+        for i, n in enumerate(self.lengths):
+            of_length.setdefault(n, []).append(i)
         self.tables = {}
-        for n in sorted(set(self.lengths)):
-            for mask in masks if n >= len(masks[0]) else ("1" * n,):
+        for n, alike in sorted(of_length.items()):
+            # An item of at most min_words words must match whole; if it is also too short for a mask it is hashed whole.
+            for mask in masks if n >= span or n > self.min_words else ("1" * n,):
+                if len(mask) > n:
+                    continue
                 hashes, items_, places = self.tables.setdefault(mask, ([], [], []))
-                for i in (i for i, m in enumerate(self.lengths) if m == n):
+                for i in alike:
                     at = np.arange(n - len(mask) + 1)
                     hashes.append(mask_hash(self.ids, mask, self.begins[i] + at))
                     items_.append(np.full(len(at), i))
@@ -95,10 +148,12 @@ class SeedIndex:
             h, i, p = (np.concatenate(c) for c in columns)
             order = np.argsort(h, kind="stable")
             self.tables[mask] = h[order], i[order], p[order]
+        self.longest = max(self.lengths, default=0)
 
-    def hits(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """(item, document place minus item place) of every equal hash."""
-        found = set()
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items, ascending, and the diagonals (document place minus item place) of all equal hashes."""
+        found = np.zeros(0, dtype=np.int64)
+        width = len(ids) + self.longest + 1
         known = ids > 0
         for mask, (hashes, items, places) in self.tables.items():
             n = len(ids) - len(mask) + 1
@@ -113,39 +168,73 @@ class SeedIndex:
                 continue
             h = mask_hash(ids, mask, starts)
             low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            for s in np.flatnonzero(high > low):
-                for j in range(low[s], high[s]):
-                    found.add((int(items[j]), int(starts[s] - places[j])))
-        return found
+            some = high > low
+            starts, low, size = starts[some], low[some], (high - low)[some]
+            ends = np.cumsum(size)
+            a = 0
+            while a < len(starts):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, "right")))
+                many = size[a:b]
+                step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                entry = np.repeat(low[a:b], many) + step
+                keys = items[entry] * width + np.repeat(starts[a:b], many) - places[entry] + self.longest
+                found = np.union1d(found, keys)
+                a = b
+        return found // width, found % width - self.longest
+
+    def likely(self, ids: np.ndarray):
+        """(item, diagonal) of the hits whose whole diagonal has matching words enough."""
+        items, diagonals = self.hits(ids)
+        if not len(items):
+            return
+        pad = np.zeros(self.longest, dtype=np.int64)
+        padded = np.concatenate([pad, ids, pad])
+        borders = np.flatnonzero(np.diff(items)) + 1
+        for own, places in zip(np.split(items, borders), np.split(diagonals, borders), strict=True):
+            item = int(own[0])
+            n = self.lengths[item]
+            test = self.ids[self.begins[item] : self.begins[item] + n]
+            at = np.arange(n) + self.longest
+            step = max(1, CHUNK // n)
+            for a in range(0, len(places), step):
+                part = places[a : a + step]
+                same = (padded[part[:, None] + at] == test).sum(axis=1)
+                for d in part[same >= min(self.min_words, n)].tolist():
+                    yield item, d
 
     def overlap(self, ids: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int, int] | None:
-        """(document start, item start, length, matching words) of the best run on a diagonal."""
+        """(document start, item start, length, matching words) of the overlap on a diagonal.
+
+        Of the stretches with a share of ``min_identity`` it is the first with the
+        most matching words; it begins and ends with a match.
+        """
         n = self.lengths[item]
         a, b = max(0, -diagonal), min(n, len(ids) - diagonal)
         if b <= a:
             return None
         test = self.ids[self.begins[item] + a : self.begins[item] + b]
         equal = ids[diagonal + a : diagonal + b] == test
-        best, score, top, start = (0, 0, 0), 0, 0, 0
-        for k, same in enumerate(equal.tolist()):
-            score += 1 if same else -SUBSTITUTION
-            if score <= 0 or score < top - DROP:
-                score, top, start = 0, 0, k + 1
-            elif score > top:
-                top = score
-                if score > best[0]:
-                    best = (score, start, k + 1)
-        _, s, e = best
-        return (diagonal + a + s, a + s, e - s, int(equal[s:e].sum())) if e > s else None
-
-    def matches(self, text: str, min_words: int, min_identity: float) -> list[tuple]:
+        matching = np.concatenate([[0], np.cumsum(equal)])
+        # A stretch has the share when the balance is no lower at its end than at its start;
+        # of each end, the farthest such start is where the balance first got so low.
+        balance = matching - self.min_identity * np.arange(b - a + 1)
+        starts = np.searchsorted(-np.minimum.accumulate(balance), -(balance + EPSILON), "left")
+        counts = matching - matching[starts]
+        e = int(np.argmax(counts))
+        if not counts[e]:
+            return None
+        s = int(starts[e])
+        s += int(np.argmax(equal[s:e]))
+        return diagonal + a + s, a + s, e - s, int(counts[e])
+
+    def matches(self, text: str) -> list[tuple]:
         """(item_id, doc_start, item_start, n_words, n_equal): the best overlap with each item."""
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in words_of(text)], dtype=np.int64)
         best: dict[int, tuple] = {}
-        for item, diagonal in self.hits(ids):
+        for item, diagonal in self.likely(ids):
             run = self.overlap(ids, item, diagonal)
-            if run and run[3] >= min(min_words, self.lengths[item]) and run[3] >= min_identity * run[2]:
+            if run and run[3] >= min(self.min_words, self.lengths[item]):
                 if item not in best or (-run[3], run[0]) < (-best[item][3], best[item][0]):
                     best[item] = run
         return [(self.item_ids[i], *best[i]) for i in sorted(best)]
@@ -190,14 +279,14 @@ def overlaps(
     item_type = pa.string() if item_kind == "string" else pa.int64() if item_kind == "bigint" else pa.int32()
     out = None
     for block in blocks(benchmark, block_words, item_column, "text"):
-        index = spark.sparkContext.broadcast(SeedIndex(block))
+        index = spark.sparkContext.broadcast(SeedIndex(block, min_words, min_identity))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, texts in slices(batch, 1):
                     rows, places = [], []
                     for i, text in enumerate(texts):
-                        for found in index.value.matches(text, min_words, min_identity):
+                        for found in index.value.matches(text):
                             places.append(i)
                             rows.append(found)
                     columns = list(zip(*rows, strict=True)) if rows else [()] * 5

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -116,6 +117,49 @@ def test_decontamination(spark, docs, empty):
     assert [r["doc_id"] for r in decontaminate.contaminated(near, short).collect()] == [1]
 
 
+def test_decontamination_finds_every_overlap():
+    def brute(doc, item):
+        best = 0
+        for d in range(-len(item) + 1, len(doc)):
+            same = [doc[d + k] == item[k] if 0 <= d + k < len(doc) else None for k in range(len(item))]
+            for s in range(len(item)):
+                n = 0
+                for e in range(s, len(item)):
+                    if same[e] is None:
+                        break
+                    n += same[e]
+                    if n >= min(12, len(item)) and 4 * n >= 3 * (e + 1 - s):
+                        best = max(best, n)
+        return best
+
+    for n, most in ((15, 3), (16, 4), (20, 3), (30, 2)):
+        item = [f"w{k}" for k in range(n)]
+        index = decontaminate.SeedIndex([(1, " ".join(item))])
+        for m in range(most + 1):
+            for gone in combinations(range(n), m):
+                text = " ".join(["lead", *("zzz" if k in gone else w for k, w in enumerate(item)), "out"])
+                found = index.matches(text)
+                assert found and found[0][4] == n - m, (n, gone)
+    item = [f"w{k}" for k in range(60)]
+    index = decontaminate.SeedIndex([(1, " ".join(item))])
+    for r in range(4):
+        found = index.matches(" ".join("zzz" if k % 4 == r else w for k, w in enumerate(item)))
+        assert found and found[0][4] == 45
+    rng = random.Random(5)
+    some = 0
+    for _ in range(400):
+        item = [rng.choice("abcdef") for _ in range(rng.randint(3, 24))]
+        doc = [w if rng.random() < 0.75 else rng.choice("abcdefg") for w in item]
+        doc = [rng.choice("abcdefg") for _ in range(rng.randint(0, 5))] + doc[: rng.randint(2, 24)]
+        found = decontaminate.SeedIndex([(1, " ".join(item))]).matches(" ".join(doc))
+        assert (found[0][4] if found else 0) == brute(doc, item), (item, doc)
+        some += bool(found)
+    assert 50 < some < 350
+    for words, share in ((12, 0.75), (5, 0.9), (12, 0.6), (3, 0.3)):
+        assert decontaminate.lossless(decontaminate.masks_for(words, share), words, share)
+    assert not decontaminate.lossless(("110110110101", "101011011011", "111001110110"), 12, 0.75)
+
+
 def test_toxicity(spark, docs, empty):
     big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
