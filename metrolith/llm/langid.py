@@ -31,9 +31,12 @@ from ._common import checked, held_out, per_document
 BUCKETS = 1 << 13
 SAMPLE = 300
 CENTROIDS = 4
-#: A text is rejected below this share of the similarity that all but one in a
-#: hundred of its language's sampled texts have.
-REJECT_SHARE = 0.2
+#: A language's limit lies in the gap between the similarity that 95 in a hundred
+#: sampled texts of other languages stay below and the one that 99 in a hundred of
+#: its own exceed: this share of the gap above the former, at most the second share
+#: of the latter (a stray label can close the gap).  A language learned alone has
+#: no gap; its limit is the third share of its own similarity.
+GAP_SHARE, MOST_SHARE, LONE_SHARE = 0.25, 0.75, 0.5
 UNKNOWN = "und"
 
 
@@ -112,7 +115,7 @@ def train(samples: dict[str, list[np.ndarray]], centroids: int = CENTROIDS) -> L
         for c in samples[k]:
             seen[c[0]] += 1
     idf = np.log((1 + total) / (1 + seen)) + 0.05
-    of, parts, limits = [], [], []
+    of, parts, texts = [], [], []
     for i, k in enumerate(languages):
         x = np.zeros((len(samples[k]), BUCKETS), dtype=np.float32)
         for row, (at, value) in zip(x, samples[k], strict=True):
@@ -121,7 +124,16 @@ def train(samples: dict[str, list[np.ndarray]], centroids: int = CENTROIDS) -> L
         c = k_means(x, centroids)
         of += [i] * len(c)
         parts.append(c)
-        limits.append(REJECT_SHARE * float(np.quantile((x @ c.T).max(axis=1), 0.01)))
+        texts.append(x)
+    limits = []
+    for i, c in enumerate(parts):
+        near = [(x @ c.T).max(axis=1) for x in texts]
+        own, others = float(np.quantile(near[i], 0.01)), near[:i] + near[i + 1 :]
+        if others:
+            other = float(np.quantile(np.concatenate(others), 0.95))
+            limits.append(min(other + GAP_SHARE * max(0.0, own - other), MOST_SHARE * own))
+        else:
+            limits.append(LONE_SHARE * own)
     stacked = np.concatenate(parts) if parts else np.zeros((0, BUCKETS), dtype=np.float32)
     return LanguageModel(languages, np.array(of, dtype=int), stacked.astype(np.float32), idf, np.array(limits))
 

@@ -195,6 +195,21 @@ def test_language(spark, docs, empty):
     assert langid.languages(empty, model).count() == 0
 
 
+def test_language_rejects_what_was_not_learned(spark):
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [(r["lang"], r["text"]) for r in big.collect() if r["text"] and langid.counts(r["text"]) is not None]
+    rng = random.Random(1)
+    junk = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(rng.randint(5, 80))) for _ in range(100)]
+    for out in (None, "de", "en", "es", "fr"):
+        model = langid.fit(big.where(F.col("lang") != out) if out else big)
+        away = [model.predict(t)[2] for k, t in texts if k == out]
+        own = [model.predict(t)[2] for k, t in texts if k != out]
+        assert sum(away) >= 0.95 * len(away) and sum(own) <= 0.01 * len(own), out
+        assert sum(model.predict(t)[2] for t in junk) >= 0.95 * len(junk), out
+    alone = langid.fit(big.where("lang = 'fr'"))
+    assert alone.languages == ["fr"] and sum(not alone.predict(t)[2] for k, t in texts if k == "fr") >= 0.99 * sum(k == "fr" for k, _ in texts)
+
+
 def test_licenses(docs, rows, empty):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     got = {}
