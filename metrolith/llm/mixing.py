@@ -122,6 +122,11 @@ def schedule(docs: DataFrame, id_column="doc_id", text_column="text", source_col
         return spark.createDataFrame(
             [], f"{id_column} {dict(docs.dtypes)[id_column]}, size bigint, source_size bigint, target double, taken bigint, copies bigint"
         )
+    if not any(p.target > 0 for p in plans):
+        none = F.lit(0).cast("bigint")
+        return sized.select(
+            F.col("row_id").alias(id_column), "size", none.alias("source_size"), F.lit(0.0).alias("target"), none.alias("taken"), none.alias("copies")
+        )
     block = block_words(plans)
     known = spark.createDataFrame(
         [

@@ -286,6 +286,14 @@ def test_mixing(docs, rows, empty):
     assert mixing.schedule(empty).count() == 0
 
 
+def test_mixing_without_words(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, " \n", None), (2, "", "b")], "doc_id bigint, text string, source string")
+    out = mixing.schedule(df).collect()
+    assert sorted(r["doc_id"] or 0 for r in out) == [0, 1, 2, 2] and all(tuple(r)[1:] == (0, 0, 0.0, 0, 0) for r in out)
+    assert [f.dataType for f in mixing.schedule(df).schema] == [f.dataType for f in mixing.schedule(df.limit(0)).schema]
+    assert mixing.mix(df).count() == 0
+
+
 def test_mixing_targets():
     plans = mixing.targets([(None, 0, 1), ("b", 10, 1), ("a", 1000, 1)])
     assert [p.source for p in plans] == ["a", "b", None] and plans[1].target == 30 and plans[2].target == 0 and plans[0].target == 980
