@@ -204,11 +204,17 @@ def near_duplicates(
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """One document of each group, the one with the smallest id, with all its columns.
 
-    Documents that are left out are the smaller set; their ids are joined back.
+    Documents are told apart by id and text, so repeated and null ids are no copies
+    by themselves.  In a group null ids come last, and the smallest hash of the text
+    decides between equal ids.  Documents that are left out are the smaller set;
+    their ids and the hashes of their texts are joined back.
     """
-    found = near_duplicates(docs, id_column=id_column, text_column=text_column, **options)
-    out = found.where(~F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("_gone"))
+    row = F.struct(F.col(id_column).isNull().alias("no_id"), F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text"))
+    named = docs.select(row.alias("_row"), F.col(text_column).alias("_text"))
+    found = near_duplicates(named, id_column="_row", text_column="_text", **options)
+    out = found.where(F.col("_row") != F.col("component_id")).select(F.col("_row.id").alias("_gone"), F.col("_row.text").alias("_gone_text"))
     gone = checked(out.distinct(), "simhash-gone")
-    kept = docs.join(gone, docs[id_column].eqNullSafe(gone["_gone"]), "left_anti")
+    same = docs[id_column].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs[text_column]) == gone["_gone_text"])
+    kept = docs.join(gone, same, "left_anti")
     repeated = docs.groupBy(id_column).count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_column]) if repeated else kept
+    return kept.dropDuplicates([id_column, text_column]) if repeated else kept

@@ -78,6 +78,14 @@ def test_simhash(docs, rows, empty):
     assert sorted(kept) == sorted({c for _, _, c in expected})
 
 
+def test_deduplicate_keeps_other_texts_of_an_id(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcde")
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (2, d), (2, e), (2, e), (3, e), (2, a), (4, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in simhash.deduplicate(df).collect())
+    assert kept == sorted([(1, a), (0, b), (0, c), (2, d), (2, e), (4, "")])
+
+
 def test_simhash_links_are_all_pairs(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(63) for _ in range(150)]
