@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +22,16 @@ SLICE_CHARS = 4_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset (local
-    tests) a temporary folder is made and remembered in the session.
+    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset and all
+    tasks run in the driver's process (local tests) a temporary folder is made and
+    remembered in the session; on a cluster it must be set.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.metrolith.scratch", ""
     )
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="metrolith-")
         spark.conf.set("spark.metrolith.scratch", found)
     return found.rstrip("/")
@@ -50,21 +56,31 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def parts(batch: pa.RecordBatch, text_column: int, most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into parts of about ``most`` bytes of text, one row at least."""
+    lengths = pa.compute.binary_length(batch.column(text_column)).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(lengths), 0
+    while start < len(ends):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def slices(batch: pa.RecordBatch, text_column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut a batch into slices of bounded text and give the texts as str (null: '')."""
-    lengths = pa.compute.binary_length(batch.column(text_column)).to_pylist()
-    start, total = 0, 0
-    for i, n in enumerate(lengths):
-        total += n or 0
-        if total >= SLICE_CHARS:
-            part = batch.slice(start, i + 1 - start)
-            yield part, [x or "" for x in part.column(text_column).to_pylist()]
-            start, total = i + 1, 0
-    if start < len(lengths):
-        part = batch.slice(start)
+    for part in parts(batch, text_column):
         yield part, [x or "" for x in part.column(text_column).to_pylist()]
 
 
+def release() -> None:
+    """Give the memory that a worker freed back to the machine; idle workers are kept for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def per_document(
     docs: DataFrame,
     rows: Callable[[list[str]], dict[str, pa.Array]],
@@ -87,6 +103,7 @@ def per_document(
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(made[n] for n in names)], names=[id_column, *names]
                 )
+        release()
 
     kind = dict(docs.dtypes)[id_column]
     return docs.select(id_column, text_column).mapInArrow(run, f"{id_column} {kind}, {schema}")

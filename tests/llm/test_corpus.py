@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -343,7 +344,6 @@ def test_tokens_round_trip(docs, rows, empty, spark):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
     start, expected = 0, []
     for i, t in sorted(rows, key=lambda r: (r[0], r[1] or "")):
         ids = plain.encode(t or "", add_special_tokens=False).ids + [2]
@@ -353,18 +353,63 @@ def test_tokens_round_trip(docs, rows, empty, spark):
     assert tokens.encode_corpus(empty, tokenizer_path()).count() == 0
 
 
-def test_encoder_is_exact_on_odd_space():
+def test_tokens_of_null_and_repeated_ids(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    rows = [(None, "b b"), (5, "a <|endoftext|> b"), (None, None), (-(1 << 63), "least"), ((1 << 63) - 1, "most"), (5, "a"), (5, None), (5, "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    start, expected = 0, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        ids = plain.encode(t or "", add_special_tokens=False).ids + [2]
+        expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    for n in (1, 3):
+        got = tokens.encode_corpus(df, tokenizer_path(), partitions=n).collect()
+        assert sorted(map(tuple, got), key=lambda r: r[1]) == expected
+
+
+def test_token_file_in_blocks(monkeypatch):
+    monkeypatch.setattr(tokens, "READ_DOCS", 7)
+    monkeypatch.setattr(tokens, "READ_IDS", 50)
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 90, 700)
+    ids, doc_ids = rng.integers(0, 60_000, lengths.sum()).astype("<u2"), np.sort(rng.integers(-(2**62), 2**62, 697))
+    out = pa.BufferOutputStream()
+    writer = tokens.TokenWriter(out, 2)
+    begin = 0
+    for a in range(0, 700, 100):
+        some = lengths[a : a + 100]
+        own = pa.array([None] * 3 + doc_ids[:97].tolist() if not a else doc_ids[a - 3 : a + 97].tolist(), pa.int64())
+        writer.add(own, some, ids[begin : begin + some.sum()])
+        begin += some.sum()
+    assert writer.close() == (700, lengths.sum())
+    found = tokens.TokenFile(pa.BufferReader(out.getvalue()))
+    ends = np.cumsum(lengths)
+    assert np.concatenate([e for _, e in found.blocks()]).tolist() == ends.tolist()
+    assert all(len(e) == 1 or e[-1] - (ends[a - 1] if a else 0) <= 50 for a, e in found.blocks())
+    for i in range(0, 700, 13):
+        assert found.document(i).tolist() == ids[ends[i] - lengths[i] : ends[i]].tolist()
+        assert found.doc_ids(i, i + 1).to_pylist() == [None if i < 3 else int(doc_ids[i - 3])]
+
+
+@pytest.mark.parametrize("known", [1 << 19, 100])
+def test_encoder_is_exact_on_odd_space(monkeypatch, known):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
     encode = tokens.Encoder(tokenizer_path(), 2)
     rng = random.Random(1)
-    pieces = ["a", "word", "word,", "It's", " ", "  ", "\n", "\n\n", "\t", " ", " ", "é", "ñandú.", "12", "x1", "...", "<|endoftext|>", "日本", "\x1c", "don't!", "ASCII"]
-    for _ in range(3000):
-        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
-        got = np.frombuffer(encode(text), encode.kind).tolist()
-        assert got == plain.encode(text, add_special_tokens=False).ids + [2], repr(text)
+    pieces = ["a", "word", "word,", "It's", " ", "  ", "\n", "\n\n", "\t", " ", " ", "\u00a0", "\u2003", "\u3000", "\u0085", "\u201cq\u201d", "é", "ñandú.", "12", "x1", "...", "<|endoftext|>", "日本", "\x1c", "don't!", "ASCII", ".", ",", "é?", "×:", "\n", "x", "'s"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
+    texts += [None, "", " ", "x" * 5000, "a b " * 3000, "日本 語 " * 50]
+    monkeypatch.setattr(tokens, "KNOWN", known)
+    for some in (texts, texts[:3000], texts[2000:], texts[:1], texts[-6:], texts[-6:-4], []):
+        ids, lengths = encode(pa.array(some, pa.string()))
+        ends = np.cumsum(lengths)
+        assert ids.dtype == encode.kind and len(lengths) == len(some) and (ends[-1] if some else 0) == len(ids)
+        for text, a, b in zip(some, ends - lengths, ends, strict=True):
+            assert ids[a:b].tolist() == plain.encode(text or "", add_special_tokens=False).ids + [2], repr(text)
 
 
 def test_quality(docs, rows, empty):
