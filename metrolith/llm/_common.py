@@ -109,6 +109,19 @@ def per_document(
     return docs.select(id_column, text_column).mapInArrow(run, f"{id_column} {kind}, {schema}")
 
 
+def keep_rows(docs: DataFrame, keep: Callable[[list[str]], list[bool]], text_column: str = "text") -> DataFrame:
+    """The rows whose text ``keep`` accepts, with all their columns; one pass, without a join or a shuffle."""
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, at):
+                yield part.filter(pa.array(keep(texts), pa.bool_()))
+        release()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_column: str = "doc_id"):
     """crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(

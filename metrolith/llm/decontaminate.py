@@ -2,14 +2,14 @@
 
 Words are ``\\w+`` of the lower-cased text.  An overlap is a stretch of a document
 and an equally long one of a test item that hold at least ``min_words`` matching
-words (or the whole of a shorter item) at a share of at least ``min_identity``.
+words (or that share of a shorter item) at a share of at least ``min_identity``.
 
 A seed is a fixed mask over word positions; the positions it ignores may differ.
 Every window of every test item is hashed under each mask, every window of every
 training document too, and equal hashes join a document place with an item place.
-The masks are the first family of ``FAMILIES`` without which no overlap can be:
-``lossless`` proves it for the asked criterion, whatever the overlap's length and
-wherever its substitutions stand.  Along each hit's diagonal all stretches are
+An item's masks are the first family of ``FAMILIES`` without which no overlap with
+it can be: ``lossless`` proves it for the asked criterion, whatever the overlap's
+length and wherever its substitutions stand.  Along each hit's diagonal all stretches are
 weighed, and that with the most matching words is taken.
 
 The test side is a stated query set: it is hashed on the driver in blocks of at
@@ -17,15 +17,17 @@ most ``block_words`` words, so what is broadcast has a fixed bound, and larger
 benchmarks take more passes over the documents, not more memory.  Documents are
 never shuffled.
 
-Defined cases: null and empty texts (documents or items) never match; items
-of at most ``min_words`` words match exactly; repeated rows are
-each reported; ties between overlaps of an item go to the one with more matching
+Defined cases: null and empty texts (documents or items) never match, nor do items
+of fewer than ``min_item`` words; repeated rows are each reported by ``overlaps``
+and kept or removed by their own text in ``clean``, while ``contaminated`` has one
+row for all rows of an id (null is one); ties between overlaps of an item go to the one with more matching
 words, then the earlier; an empty table on either side gives no rows (``clean``
 then keeps all documents); other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,14 +36,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import checked, slices
+from ._common import keep_rows, release, slices
 
 #: Families of masks: 1 is compared, 0 is ignored.  The first loses nothing at 12
 #: words and 75 %, later ones at less; a single word is in every overlap.
 FAMILIES = (("10111", "1001011"), ("1101",), ("11",), ("1",))
 MIN_WORDS = 12
 MIN_IDENTITY = 0.75
+#: Items of fewer words are no passage: they never match.
+MIN_ITEM = 5
 #: Words of test items that one pass holds; also the bound of what is broadcast.
 BLOCK_WORDS = 2_000_000
 #: Words compared at once, and seed hits held at once.
@@ -107,7 +112,7 @@ def lossless(masks: tuple[str, ...], min_words: int, min_identity: float) -> boo
     return False
 
 
-@lru_cache(16)
+@lru_cache(256)
 def masks_for(min_words: int, min_identity: float) -> tuple[str, ...]:
     return next((f for f in FAMILIES if lossless(f, min_words, min_identity)), FAMILIES[-1])
 
@@ -115,15 +120,15 @@ def masks_for(min_words: int, min_identity: float) -> tuple[str, ...]:
 class SeedIndex:
     """The hashed windows of one block of test items, sorted for a join by search."""
 
-    def __init__(self, items: list[tuple[object, str]], min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY):
+    def __init__(
+        self, items: list[tuple[object, str]], min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY, min_item: int = MIN_ITEM
+    ):
         self.min_words, self.min_identity = max(1, min_words), min_identity
-        masks = masks_for(self.min_words, min_identity)
-        span = max(map(len, masks))
         self.item_ids, self.vocabulary = [], {}
         ids, self.begins, self.lengths = [], [], []
         for item_id, text in items:
             found = words_of(text or "")
-            if found:
+            if len(found) >= max(1, min_item):
                 self.item_ids.append(item_id)
                 self.begins.append(len(ids))
                 self.lengths.append(len(found))
@@ -134,8 +139,8 @@ class SeedIndex:
             of_length.setdefault(n, []).append(i)
         self.tables = {}
         for n, alike in sorted(of_length.items()):
-            # An item of at most min_words words must match whole; if it is also too short for a mask it is hashed whole.
-            for mask in masks if n >= span or n > self.min_words else ("1" * n,):
+            # A mask that is longer than the item is needed for none of its overlaps.
+            for mask in masks_for(self.needed(n), min_identity):
                 if len(mask) > n:
                     continue
                 hashes, items_, places = self.tables.setdefault(mask, ([], [], []))
@@ -150,6 +155,10 @@ class SeedIndex:
             self.tables[mask] = h[order], i[order], p[order]
         self.longest = max(self.lengths, default=0)
 
+    def needed(self, n: int) -> int:
+        """The matching words of an overlap with an item of n words."""
+        return max(1, min(self.min_words, math.ceil(self.min_identity * n - EPSILON)))
+
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The items, ascending, and the diagonals (document place minus item place) of all equal hashes."""
         found = np.zeros(0, dtype=np.int64)
@@ -178,7 +187,8 @@ class SeedIndex:
                 step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 entry = np.repeat(low[a:b], many) + step
                 keys = items[entry] * width + np.repeat(starts[a:b], many) - places[entry] + self.longest
-                found = np.union1d(found, keys)
+                found = np.sort(np.concatenate([found, keys]))
+                found = found[np.append(True, found[1:] != found[:-1])] if len(found) else found
                 a = b
         return found // width, found % width - self.longest
 
@@ -199,7 +209,7 @@ class SeedIndex:
             for a in range(0, len(places), step):
                 part = places[a : a + step]
                 same = (padded[part[:, None] + at] == test).sum(axis=1)
-                for d in part[same >= min(self.min_words, n)].tolist():
+                for d in part[same >= self.needed(n)].tolist():
                     yield item, d
 
     def overlap(self, ids: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int, int] | None:
@@ -227,6 +237,16 @@ class SeedIndex:
         s += int(np.argmax(equal[s:e]))
         return diagonal + a + s, a + s, e - s, int(counts[e])
 
+    def overlaps_any(self, text: str) -> bool:
+        """Whether the text overlaps some item."""
+        get = self.vocabulary.get
+        ids = np.array([get(w, 0) for w in words_of(text)], dtype=np.int64)
+        for item, diagonal in self.likely(ids):
+            run = self.overlap(ids, item, diagonal)
+            if run and run[3] >= self.needed(self.lengths[item]):
+                return True
+        return False
+
     def matches(self, text: str) -> list[tuple]:
         """(item_id, doc_start, item_start, n_words, n_equal): the best overlap with each item."""
         get = self.vocabulary.get
@@ -234,7 +254,7 @@ class SeedIndex:
         best: dict[int, tuple] = {}
         for item, diagonal in self.likely(ids):
             run = self.overlap(ids, item, diagonal)
-            if run and run[3] >= min(self.min_words, self.lengths[item]):
+            if run and run[3] >= self.needed(self.lengths[item]):
                 if item not in best or (-run[3], run[0]) < (-best[item][3], best[item][0]):
                     best[item] = run
         return [(self.item_ids[i], *best[i]) for i in sorted(best)]
@@ -263,6 +283,7 @@ def overlaps(
     id_column: str = "doc_id",
     text_column: str = "text",
     item_column: str = "item_id",
+    min_item: int = MIN_ITEM,
 ) -> DataFrame:
     """One row for each document and test item that overlap.
 
@@ -276,10 +297,10 @@ def overlaps(
         "doc_start bigint, item_start bigint, n_words bigint, n_equal bigint"
     )
     narrow = docs.select(id_column, text_column)
-    item_type = pa.string() if item_kind == "string" else pa.int64() if item_kind == "bigint" else pa.int32()
+    item_type = to_arrow_type(benchmark.schema[item_column].dataType)
     out = None
     for block in blocks(benchmark, block_words, item_column, "text"):
-        index = spark.sparkContext.broadcast(SeedIndex(block, min_words, min_identity))
+        index = spark.sparkContext.broadcast(SeedIndex(block, min_words, min_identity, min_item))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -298,6 +319,7 @@ def overlaps(
                         ],
                         names=[id_column, item_column, "doc_start", "item_start", "n_words", "n_equal"],
                     )
+            release()
 
         found = narrow.mapInArrow(run, schema)
         out = found if out is None else out.union(found)
@@ -320,12 +342,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that overlap no test item, with all their columns; null ids stay unless they overlap.
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    min_words: int = MIN_WORDS,
+    min_identity: float = MIN_IDENTITY,
+    block_words: int = BLOCK_WORDS,
+    text_column: str = "text",
+    item_column: str = "item_id",
+    min_item: int = MIN_ITEM,
+) -> DataFrame:
+    """The documents that overlap no test item, with all their columns.
 
-    Only the ids of contaminated documents are joined back.
+    Each block of test items is a pass over the rows that are left; nothing is joined back.
     """
-    id_column = options.get("id_column", "doc_id")
-    bad = overlaps(docs, benchmark, **options).select(F.col(id_column).alias("_bad")).distinct()
-    bad = checked(bad, "contaminated")
-    return docs.join(bad, docs[id_column].eqNullSafe(bad["_bad"]), "left_anti")
+    for block in blocks(benchmark, block_words, item_column, "text"):
+        index = docs.sparkSession.sparkContext.broadcast(SeedIndex(block, min_words, min_identity, min_item))
+        docs = keep_rows(docs, lambda texts, index=index: [not index.value.overlaps_any(t) for t in texts], text_column)
+    return docs

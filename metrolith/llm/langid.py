@@ -7,14 +7,14 @@ several centroids of each language; the nearest centroid names the language.  A
 text whose nearest centroid is farther than its language's limit is rejected.
 
 Centroids come from spherical k-means on a bounded sample (``SAMPLE`` documents
-of each language, a documented bound, chosen by a hash of the id) of documents
+of each language, a documented bound, chosen by a hash of id and text) of documents
 that are not held out; whole texts are read.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and
 rejected; ties between centroids go to the language that sorts first; null
 languages are not learned from; with nothing to learn from every text is
-``und``; repeated rows each get a row; an empty table gives an empty table;
-other columns are ignored.
+``und``; rows that repeat an id or have none are told apart by their text and each
+get a row; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checked, held_out, per_document
+from ._common import checked, held_out, keep_rows, per_document
 
 BUCKETS = 1 << 13
 SAMPLE = 300
@@ -152,15 +152,15 @@ def fit(
     )
     shares = known.groupBy("_l").count().select("_l", (F.lit(2.0 * sample) / F.col("count")).alias("_share"))
     shares = checked(shares, "language-shares")
-    hashed = F.shiftrightunsigned(F.xxhash64("_id", F.lit(11)), 1) / F.lit(2.0**63)
+    hashed = F.shiftrightunsigned(F.xxhash64("_id", "_t", F.lit(11)), 1) / F.lit(2.0**63)
     rows = known.join(shares, "_l").where(hashed < F.col("_share"))
     samples: dict[str, list] = {}
-    for r in rows.select("_id", "_l", "_t").toLocalIterator():
+    for r in rows.select(F.xxhash64("_id", "_t").alias("_h"), "_l", "_t").toLocalIterator():
         held = samples.setdefault(r[1], [])
         count = counts(r[2] or "")
         if count is not None:
             at = np.flatnonzero(count)
-            held.append((str(r[0]), at, count[at]))
+            held.append((r[0], at, count[at]))
     chosen = {k: [(a, c) for _, a, c in sorted(v, key=lambda x: x[0])[:sample]] for k, v in samples.items()}
     return train(chosen, centroids)
 
@@ -183,13 +183,4 @@ def languages(docs: DataFrame, model: LanguageModel, id_column="doc_id", text_co
 def accepted(docs: DataFrame, model: LanguageModel, text_column: str = "text") -> DataFrame:
     """The documents whose language is accepted, with all their columns; one pass, no join."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    at = names.index(text_column)
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            keep = [not shared.value.predict(t or "")[2] for t in texts]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, lambda texts: [not shared.value.predict(t)[2] for t in texts], text_column)

@@ -122,8 +122,47 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.clean(docs, bench).count() == docs.where(~F.col("doc_id").isin(list(whole))).count()
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
     short = spark.createDataFrame([(7, "just five words right here"), (8, None)], "item_id bigint, text string")
-    near = spark.createDataFrame([(1, "x just five words right here y"), (2, "just five words left here")], "doc_id bigint, text string")
+    near = spark.createDataFrame([(1, "x just five words right here y"), (2, "just six words left here")], "doc_id bigint, text string")
     assert [r["doc_id"] for r in decontaminate.contaminated(near, short).collect()] == [1]
+    one = spark.createDataFrame([("a", "the"), ("b", "four words are none")], "item_id string, text string")
+    said = spark.createDataFrame([(1, "the four words are none"), (None, "the")], "doc_id bigint, text string")
+    assert decontaminate.contaminated(said, one).count() == 0
+    assert [r["items"] for r in decontaminate.contaminated(said, one, min_item=1).orderBy("doc_id").collect()] == ["a", "a,b"]
+
+
+def test_decontamination_is_brute_force(spark, docs, rows):
+    """Every (document, item) pair of the smallest table, weighed on all diagonals."""
+    number = {}
+    ids = lambda t: np.array([number.setdefault(w, len(number)) for w in decontaminate.words_of(t or "")], dtype=int)
+    table = spark.read.parquet(f"{SF}/benchmark.parquet")
+    bench = [(r["item_id"], ids(r["text"])) for r in table.collect()]
+    some = [(i, t) for i, t in rows if len(t or "") < 3000]
+    expected = {}
+    for i, t in some:
+        doc = ids(t)
+        for item, test in bench:
+            x, y = np.nonzero(doc[:, None] == test)
+            most = np.bincount(x - y + len(test), minlength=1)
+            best = 0
+            for d in np.flatnonzero(most >= 12) - len(test):
+                a, b = max(0, -d), min(len(test), len(doc) - d)
+                c = np.concatenate([[0], np.cumsum(doc[d + a : d + b] == test[a:b])])
+                best = max([best, *(c[e] - c[s] for s in range(len(c)) for e in range(s + 1, len(c)) if 4 * (c[e] - c[s]) >= 3 * (e - s))])
+            if best >= 12:
+                expected[i, item] = int(best)
+    df = spark.createDataFrame(sorted(set(some), key=str), "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_equal"] for r in decontaminate.overlaps(df, table).collect()}
+    assert got == expected and len(expected) >= 3
+
+
+def test_decontamination_keeps_rows_by_their_text(spark):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    item = bench.first()["text"]
+    rows = [(None, "clean", 1.0), (None, item, 2.0), (4, "clean", 3.0), (4, "so " + item, 4.0), (4, "clean", 3.0), (5, None, 5.0), (6, "", 6.0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n_equal double")
+    assert sorted(r["n_equal"] for r in decontaminate.clean(df, bench).collect()) == [1.0, 3.0, 3.0, 5.0, 6.0]
+    assert decontaminate.clean(df, bench, block_words=50).count() == 5
+    assert sorted((r["doc_id"] or 0, r["n_items"]) for r in decontaminate.contaminated(df, bench).collect()) == [(0, 1), (4, 1)]
 
 
 def test_decontamination_finds_every_overlap():
@@ -137,11 +176,11 @@ def test_decontamination_finds_every_overlap():
                     if same[e] is None:
                         break
                     n += same[e]
-                    if n >= min(12, len(item)) and 4 * n >= 3 * (e + 1 - s):
+                    if len(item) >= 5 and n >= min(12, -(-3 * len(item) // 4)) and 4 * n >= 3 * (e + 1 - s):
                         best = max(best, n)
         return best
 
-    for n, most in ((15, 3), (16, 4), (20, 3), (30, 2)):
+    for n, most in ((5, 1), (8, 2), (9, 2), (11, 2), (12, 3), (13, 3), (15, 3), (16, 4), (20, 3), (30, 2)):
         item = [f"w{k}" for k in range(n)]
         index = decontaminate.SeedIndex([(1, " ".join(item))])
         for m in range(most + 1):
@@ -303,6 +342,49 @@ def test_mixing_without_words(spark):
     assert mixing.mix(df).count() == 0
 
 
+def test_mixing_keeps_repeated_rows(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(n)) for k, n in (("a", 30), ("b", 50), ("c", 10), ("d", 700))}
+    rows = [(1, texts["a"], "x", 1), (1, texts["a"], "x", 2), (1, texts["a"], "x", 2), (1, texts["b"], "x", 3), (None, texts["c"], None, 4), (None, texts["d"], None, 5), (None, texts["d"], "x", 6), (2, None, "x", 7), (2, None, "x", 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _nth int").withColumn("h2", F.lit("clash")).withColumn("copies", F.lit(1.5))
+    plan = mixing.schedule(df).collect()
+    assert len(plan) == len(rows)
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    count = Counter((r["doc_id"], r["text"], r["source"]) for r in mixed.collect())
+    expected = Counter()
+    for i, t, s, _ in set((i, t, s, 0) for i, t, s, _ in rows):
+        size = len((t or "").split())
+        of = [p["copies"] for p in plan if p["doc_id"] == i and p["size"] == size and (s == "x") == (p["source_size"] > 800)]
+        expected[i, t, s] = sum(of)
+    assert +count == +expected and sum(count.values()) == sum(p["copies"] for p in plan)
+
+
+def test_mixing_is_the_schedule(spark, docs):
+    """Each slot's point, source, rank and block by themselves."""
+    rows = mixing.sizes_of(docs).collect()
+    sizes = {}
+    for r in rows:
+        n, k = sizes.get(r["source"], (0, 0))
+        sizes[r["source"]] = (n + r["size"], k + 1)
+    plans = mixing.targets([(s, *x) for s, x in sizes.items()])
+    asked = [p.target / p.block for p in plans]
+    edges, seen, visits = np.cumsum(asked) / sum(asked), [0] * len(plans), Counter()
+    for t in range(int(np.ceil(sum(asked)))):
+        s = min(int(np.searchsorted(edges, (t + 1) * 0.6180339887498949 % 1.0, "right")), len(plans) - 1)
+        blocks = -(-plans[s].size // plans[s].block)
+        if seen[s] < 3 * blocks:
+            visits[s, seen[s] % blocks] += 1
+        seen[s] += 1
+    expected = []
+    for s, p in enumerate(plans):
+        at = 0
+        for r in sorted((r for r in rows if r["source"] == p.source), key=lambda r: (r["h"], r["row_id"] or 0, r["h2"])):
+            taken = sum(visits[s, w // p.block] for w in range(at, at + r["size"]))
+            expected.append((r["row_id"], r["size"], p.size, p.target, taken, visits[s, at // p.block] if r["size"] else 0))
+            at += r["size"]
+    assert sorted(map(tuple, mixing.schedule(docs).collect())) == sorted(expected)
+
+
 def test_mixing_targets():
     plans = mixing.targets([(None, 0, 1), ("b", 10, 1), ("a", 1000, 1)])
     assert [p.source for p in plans] == ["a", "b", None] and plans[1].target == 30 and plans[2].target == 0 and plans[0].target == 980
