@@ -7,8 +7,9 @@ it (lower-cased).  Queries intersect and unite these lists; the candidates are
 verified by running the rule's regex over their whole texts.  A rule from which
 no mandatory trigram can be derived scans every document.
 
-Blocks are dealt by a hash of the document's key and hold a bounded number of
-rows, so no list grows with the corpus.  Candidates are written to the shared
+A document's key is a hash of its id and text, so equal rows are one entry.  Blocks
+are dealt by the key and hold a bounded number of rows, so no list grows with the
+corpus.  Candidates are written to the shared
 folder; being few they are broadcast when Spark finds the written table under
 its threshold, and joined by a shuffle beyond it.
 
@@ -201,17 +202,17 @@ def trigrams(query: Query) -> set[str]:
 # --- the index --------------------------------------------------------------------------
 
 
-def _key(id_column: str) -> Column:
-    return F.xxhash64(F.col(id_column))
+def _key(id_column: str, text_column: str) -> Column:
+    return F.xxhash64(F.col(id_column), F.col(text_column))
 
 
 def build_index(docs: DataFrame, wanted: set[str], id_column="doc_id", text_column="text", block_rows=BLOCK_ROWS) -> DataFrame:
     """(block, trigram, keys): the documents of each block that contain a trigram."""
     blocks = max(1, -(-docs.count() // block_rows))
-    low = docs.select(_key(id_column).alias("key"), F.lower(text_or_empty(text_column)).alias("low"))
+    low = docs.select(_key(id_column, text_column).alias("key"), F.lower(text_or_empty(text_column)).alias("low"))
     have = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in sorted(wanted))))
     postings = low.select("key", F.explode(have).alias("trigram"))
-    return postings.groupBy(F.pmod("key", F.lit(blocks)).alias("block"), "trigram").agg(F.collect_list("key").alias("keys"))
+    return postings.groupBy(F.pmod("key", F.lit(blocks)).alias("block"), "trigram").agg(F.collect_set("key").alias("keys"))
 
 
 def clauses(query: Query) -> list[frozenset[str]]:
@@ -286,7 +287,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, id_column="doc
     """(doc_id, spans): array of struct<s, o: rule number, e, kind> by start, then rule."""
     found = materialize(candidates(docs, rules, id_column, text_column), "secret-candidates")
     found = found.select(F.col("key").alias("_key"), "kinds")
-    texts = docs.select(F.col(id_column), _key(id_column).alias("_k"), text_or_empty(text_column).alias("text"))
+    texts = docs.select(F.col(id_column), _key(id_column, text_column).alias("_k"), text_or_empty(text_column).alias("text"))
     joined = texts.join(found, F.col("_k") == F.col("_key"), "left")
     # Rules without a mandatory trigram scan every document.
     full = [

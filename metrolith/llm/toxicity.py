@@ -16,7 +16,8 @@ number; scoring looks it up for each word of the whole text.
 
 Defined cases: null and empty texts score the model's offset; labels other than
 0 and 1, null ids and rows without a document are not learned from; a document
-labelled more than once counts once (the largest label); with no labelled row of
+labelled more than once counts once (the largest label), and so does one whose
+id repeats (the least text); with no labelled row of
 some class every score is the share of class 1 (0 without labels); repeated rows
 each get a row; an empty table gives an empty table; other columns are ignored.
 """
@@ -177,7 +178,8 @@ def fit(
     size = sum(min(sample, n) for n in shares.values())
     bags, y = np.zeros((size, BUCKETS), dtype=np.float32), np.zeros(size, dtype=int)
     front, back, memory = 0, size, {}
-    for r in rows.dropDuplicates(["_id"]).orderBy("_id").toLocalIterator():
+    rows = rows.groupBy("_id", "_y").agg(F.min("_text").alias("_text")).orderBy("_id")
+    for r in rows.toLocalIterator():
         if zlib.crc32(f"kept {r[0]}".encode()) % 4 == 3:
             back -= 1
             at = back
