@@ -39,6 +39,8 @@ from ._common import checked, materialize, per_document
 BITS = 64
 SHINGLE = 4
 SEED = 42
+#: Work of a probe, which is shuffled, spilled and sorted, beside that of a candidate, which is only compared.
+PROBE = 8
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -96,12 +98,12 @@ def probes(segments: int, radius: int) -> list[tuple[int, int, int]]:
 
 
 def segments_for(distinct: int, radius: int) -> int:
-    """The number of segments with the least probes plus expected random candidates."""
+    """The number of segments with the least work in probes and expected random candidates."""
 
     def cost(m: int) -> float:
         ball = [sum(comb(w, r) for r in range(radius // m + 1)) for _, w in cuts(m)]
         random = sum(b * distinct**2 / 2**w for b, (_, w) in zip(ball, cuts(m), strict=True))
-        return sum(ball) * distinct + random
+        return PROBE * sum(ball) * distinct + random
 
     return min(range(2, radius + 2), key=cost)
 
