@@ -3,14 +3,13 @@
 import hashlib
 import random
 import re
-import zlib
 from collections import Counter
 from itertools import combinations
 
+import brute
 import numpy as np
 import pyarrow as pa
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from metrolith.llm import decontaminate, langid, licenses, linededup, mixing, quality, secrets, simhash, tokens, toxicity
@@ -49,30 +48,13 @@ def empty(docs):
 
 
 def test_simhash(docs, rows, empty):
-    def brute(text):
-        w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
-        s = [b" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [b" ".join(w)] if w else []
-        h = [xxhash.xxh64_intdigest(x, 42) for x in s]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
-
-    fps = [(i, brute(t)) for i, t in rows]
-    parent = {}
-
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    values = sorted({f for _, f in fps})
-    for i, a in enumerate(values):
-        for b in values[:i]:
-            if (a ^ b).bit_count() <= 4:
-                parent[find(a)] = find(b)
+    fps = [(i, brute.fingerprint(t)) for i, t in rows]
+    group = brute.groups([f for _, f in fps])
     least = {}
     for i, f in fps:
-        least[find(f)] = min(least.get(find(f), i), i)
-    expected = sorted((i, f"{f:016x}", least[find(f)]) for i, f in fps)
-    for m in (2, 3, 4):
+        least[group[f]] = min(least.get(group[f], i), i)
+    expected = sorted((i, f"{f:016x}", least[group[f]]) for i, f in fps)
+    for m in (2, 3, 4, 5):
         assert sorted(map(tuple, simhash.near_duplicates(docs, segments=m).collect())) == expected
     assert simhash.near_duplicates(empty).count() == 0
     kept = [r["doc_id"] for r in simhash.deduplicate(docs).collect()]
@@ -93,9 +75,9 @@ def test_simhash_links_are_all_pairs(spark):
     values = sorted({b ^ sum(1 << k for k in rng.sample(range(63), n)) for b in base for n in range(7)})
     df = spark.createDataFrame([(v,) for v in values], "fp bigint")
     expected = {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 4}
-    for m in (2, 3):
+    for m in (2, 3, 5):
         assert {tuple(r) for r in simhash.links(df, 4, m).collect()} == expected
-    assert simhash.segments_for(100_000, 4) == 3 and simhash.segments_for(10**9, 4) == 2
+    assert [simhash.segments_for(10**k, 4) for k in (5, 7, 10)] == [5, 3, 2]
 
 
 def test_components_of_a_path(spark):
@@ -132,25 +114,11 @@ def test_decontamination(spark, docs, empty):
 
 def test_decontamination_is_brute_force(spark, docs, rows):
     """Every (document, item) pair of the smallest table, weighed on all diagonals."""
-    number = {}
-    ids = lambda t: np.array([number.setdefault(w, len(number)) for w in decontaminate.words_of(t or "")], dtype=int)
     table = spark.read.parquet(f"{SF}/benchmark.parquet")
-    bench = [(r["item_id"], ids(r["text"])) for r in table.collect()]
-    some = [(i, t) for i, t in rows if len(t or "") < 3000]
-    expected = {}
-    for i, t in some:
-        doc = ids(t)
-        for item, test in bench:
-            x, y = np.nonzero(doc[:, None] == test)
-            most = np.bincount(x - y + len(test), minlength=1)
-            best = 0
-            for d in np.flatnonzero(most >= 12) - len(test):
-                a, b = max(0, -d), min(len(test), len(doc) - d)
-                c = np.concatenate([[0], np.cumsum(doc[d + a : d + b] == test[a:b])])
-                best = max([best, *(c[e] - c[s] for s in range(len(c)) for e in range(s + 1, len(c)) if 4 * (c[e] - c[s]) >= 3 * (e - s))])
-            if best >= 12:
-                expected[i, item] = int(best)
-    df = spark.createDataFrame(sorted(set(some), key=str), "doc_id bigint, text string")
+    some = sorted({(i, t) for i, t in rows if len(t or "") < 3000}, key=str)
+    found = brute.overlaps([t for _, t in some], [(r["item_id"], r["text"]) for r in table.collect()])
+    expected = {(some[k][0], item): n for (k, item), n in found.items()}
+    df = spark.createDataFrame(some, "doc_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]): r["n_equal"] for r in decontaminate.overlaps(df, table).collect()}
     assert got == expected and len(expected) >= 3
 
@@ -361,27 +329,8 @@ def test_mixing_keeps_repeated_rows(spark):
 
 def test_mixing_is_the_schedule(spark, docs):
     """Each slot's point, source, rank and block by themselves."""
-    rows = mixing.sizes_of(docs).collect()
-    sizes = {}
-    for r in rows:
-        n, k = sizes.get(r["source"], (0, 0))
-        sizes[r["source"]] = (n + r["size"], k + 1)
-    plans = mixing.targets([(s, *x) for s, x in sizes.items()])
-    asked = [p.target / p.block for p in plans]
-    edges, seen, visits = np.cumsum(asked) / sum(asked), [0] * len(plans), Counter()
-    for t in range(int(np.ceil(sum(asked)))):
-        s = min(int(np.searchsorted(edges, (t + 1) * 0.6180339887498949 % 1.0, "right")), len(plans) - 1)
-        blocks = -(-plans[s].size // plans[s].block)
-        if seen[s] < 3 * blocks:
-            visits[s, seen[s] % blocks] += 1
-        seen[s] += 1
-    expected = []
-    for s, p in enumerate(plans):
-        at = 0
-        for r in sorted((r for r in rows if r["source"] == p.source), key=lambda r: (r["h"], r["row_id"] or 0, r["h2"])):
-            taken = sum(visits[s, w // p.block] for w in range(at, at + r["size"]))
-            expected.append((r["row_id"], r["size"], p.size, p.target, taken, visits[s, at // p.block] if r["size"] else 0))
-            at += r["size"]
+    planned = brute.schedule(mixing.sizes_of(docs).collect())
+    expected = [(r["row_id"], r["size"], *rest) for r, *rest in planned]
     assert sorted(map(tuple, mixing.schedule(docs).collect())) == sorted(expected)
 
 
@@ -425,12 +374,7 @@ def test_elias_fano(n, top):
 def test_tokens_round_trip(docs, rows, empty, spark):
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(tokenizer_path())
-    start, expected = 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0], r[1] or "")):
-        ids = plain.encode(t or "", add_special_tokens=False).ids + [2]
-        expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
+    expected = brute.tokens(rows, Tokenizer.from_file(tokenizer_path()))
     assert sorted(map(tuple, tokens.encode_corpus(docs, tokenizer_path(), partitions=5).collect())) == sorted(expected)
     assert tokens.encode_corpus(empty, tokenizer_path()).count() == 0
 
@@ -438,14 +382,9 @@ def test_tokens_round_trip(docs, rows, empty, spark):
 def test_tokens_of_null_and_repeated_ids(spark):
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(tokenizer_path())
     rows = [(None, "b b"), (5, "a <|endoftext|> b"), (None, None), (-(1 << 63), "least"), ((1 << 63) - 1, "most"), (5, "a"), (5, None), (5, "a")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    start, expected = 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
-        ids = plain.encode(t or "", add_special_tokens=False).ids + [2]
-        expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
+    expected = brute.tokens(rows, Tokenizer.from_file(tokenizer_path()))
     for n in (1, 3):
         got = tokens.encode_corpus(df, tokenizer_path(), partitions=n).collect()
         assert sorted(map(tuple, got), key=lambda r: r[1]) == expected
