@@ -3,7 +3,8 @@
 A line is a ``\\n``-separated piece with at least one word (run of anything but
 ASCII white space); its tokens are its distinct words.  Two lines match at a
 Jaccard similarity of at least 0.8.  A line is removed when an earlier line (by
-doc_id, then place in the document) has the same tokens or matches it.
+doc_id, then place in the document) has the same tokens or matches it.  Rows that
+share an id stand one after another by their text, rows without an id last.
 
 Lines with the same tokens form a class, stood for by its first line, so copies
 never meet each other.  Classes are joined by prefix filtering: tokens are
@@ -33,10 +34,11 @@ The text passes and the meeting are numpy over Arrow batches: built-in functions
 alone take more CPU and disk than the check tool grants (see the README).
 
 Defined cases: null and empty texts have no lines; blank lines are neither
-counted nor removed; rows that repeat an id stand at the same places and do not
-remove each other unless their tokens are the same; lines of documents without an
-id match only their exact copies; an empty table gives an empty table; other
-columns are ignored.  Ids are integers.
+counted nor removed; rows that repeat an id, or have none, are rows of their own and
+are deduplicated like any others (where ids repeat, are null or are no integers,
+rows are sorted and numbered first); the class of a line of a row without an id is
+written with the id ``null``; an empty table gives an empty table; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -49,8 +51,9 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from ._common import materialize, slices
+from ._common import materialize, release, slices
 
 #: Buckets of the word counts; a bucket's level counts thirds of a power of two, 0 for a single word.
 BUCKETS = 1 << 20
@@ -59,12 +62,12 @@ CHUNK = 1 << 10
 #: Slots of prefix tokens (their upper bits), counted to size the join's buckets.
 SLOTS = 1 << 18
 #: Prefix entries of a bucket of the join, about; a slot with more than half of it is split.
-BUCKET_ENTRIES = 600_000
+BUCKET_ENTRIES = 300_000
 #: Candidates of a class and token, and of a size group, in the first round.
 EARLIEST = 2
 ALL = 1 << 62
-#: Pairs that are filtered at a time.
-FLAT = 1 << 20
+#: Pairs that are filtered at a time, and prefix entries that are dealt at a time.
+FLAT, DEALT = 1 << 18, 1 << 19
 #: Lines whose tokens are fetched for comparison are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_LINES = 1_000_000
 #: Bytes of text that are hashed at a time, up to the end of a word.
@@ -117,6 +120,7 @@ def _over_texts(docs: DataFrame, columns: list[Column], make: Callable, schema:
         for batch in batches:
             for part, texts in slices(batch, batch.num_columns - 1):
                 yield make(part, [t or b"" for t in texts])
+        release()
 
     return docs.select(*columns).mapInArrow(run, schema)
 
@@ -279,6 +283,25 @@ def _slot(key: np.ndarray) -> np.ndarray:
     return (key.astype(np.int64) * SLOTS) >> 32
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold about ``DEALT`` keys."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pa.compute.sum(pa.compute.binary_length(batch.column(column))).as_py() or 0
+        if size >= 4 * DEALT:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    release()
+
+
 def slot_counts(found: DataFrame) -> np.ndarray:
     """The number of prefix entries of each slot; an array of fixed length."""
 
@@ -304,7 +327,7 @@ def _dealt(found: DataFrame, counts: np.ndarray, wanted: np.ndarray | None) -> D
     first = whole[-1] + 1 + np.cumsum(grid) - grid
 
     def deal(batches):
-        for batch in batches:
+        for batch in _gathered(batches, 7):
             key, row, place = _flat_keys(batch.column(7))
             doc, no, n, s1, s2, skipped, later = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
             slot = _slot(key)
@@ -422,7 +445,7 @@ def meet(e: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, n
             query = query[ok]
             kept = np.arange(len(query)) - np.searchsorted(query, query) + seen[query] < most
             more[rank[who[query[~kept]]]] = True
-            pairs.append(np.unique(rank[a[ok[kept]]] << 32 | rank[b[ok[kept]]]))
+            pairs.append(_distinct(rank[a[ok[kept]]] << 32 | rank[b[ok[kept]]]))
             seen[start:end] += np.bincount(query - start, minlength=end - start)
             start = end
         lo = lo + take
@@ -431,7 +454,7 @@ def meet(e: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, n
         on = (lo < hi) & ~full
         lo, hi, who, seen = lo[on], hi[on], who[on], seen[on]
         width = min(4 * width, FLAT)
-    found = np.unique(np.concatenate(pairs))
+    found = _distinct(np.concatenate(pairs))
     place_of = np.zeros(len(rank) + 1, dtype=np.int64)
     place_of[rank] = np.arange(len(rank))
     a, b = found >> 32, found & ((1 << 32) - 1)
@@ -448,6 +471,8 @@ def candidates(found: DataFrame, counts: np.ndarray, most: int, wanted: np.ndarr
         e = _unpack(list(zip(table.column("entries").to_pylist(), table.column("packed").to_pylist(), strict=True)))
         a, b, more = meet(e, most)
         arrays = [e["doc"][a], e["no"][a], e["doc"][b], e["no"][b], more]
+        del e
+        release()
         return pa.table([pa.array(x) for x in arrays], names=["a_doc", "a_no", "b_doc", "b_no", "more"])
 
     met = _dealt(found, counts, wanted).groupBy("bucket").applyInArrow(run, PAIR + ", more boolean")
@@ -484,11 +509,11 @@ def matching(pairs: DataFrame, docs: DataFrame, level: np.ndarray, id_column: st
     return both.where(9 * shared >= 4 * (F.size("l_t") + F.size("r_t"))).select("b_doc", "b_no").distinct()
 
 
-def removed_classes(docs: DataFrame, found: DataFrame, level: np.ndarray, id_column="doc_id", text_column="text") -> DataFrame:
+def removed_classes(rows: DataFrame, found: DataFrame, level: np.ndarray) -> DataFrame:
     """(x_doc, x_no): the first places of the classes that an earlier class matches."""
     counts = slot_counts(found)
     pairs = candidates(found.withColumn("later", F.lit(True)), counts, EARLIEST)
-    gone = materialize(matching(pairs, docs, level, id_column, text_column), "lines-gone")
+    gone = materialize(matching(pairs, rows, level, "_row", "_text"), "lines-gone")
     names = ["b_doc", "b_no"]
     unsure = materialize(pairs.where("more").select(*names).distinct().join(gone, names, "left_anti"), "lines-unsure")
     if unsure.head(1):
@@ -496,29 +521,43 @@ def removed_classes(docs: DataFrame, found: DataFrame, level: np.ndarray, id_col
         marked = found.join(unsure, here, "left").withColumn("later", F.col("b_doc").isNotNull()).drop(*names)
         wanted = slot_counts(marked.where("later")) > 0
         rest = candidates(marked, counts, ALL, wanted)
-        gone = gone.union(matching(rest, docs, level, id_column, text_column))
+        gone = gone.union(matching(rest, rows, level, "_row", "_text"))
     return gone.toDF("x_doc", "x_no")
 
 
-def decisions(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, line_no, class_doc, class_no, removed) of every line with a word.
+def numbered(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, bool]:
+    """(_row, _id, _text) of every document, ``_row`` a bigint of its own; and whether that is the id itself.
 
-    class_doc and class_no are the place of the first line with the same tokens.
+    It is where ids are integers, present and unique.  Otherwise rows are sorted by id
+    (null last) and text and numbered in that order, with gaps.
     """
-    level = rarity(docs, text_column)
-    lines = materialize(signed_lines(docs, level, id_column, text_column), "lines")
+    both = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
+    if isinstance(docs.schema[id_column].dataType, IntegralType):
+        odd = both.groupBy("_id").count().where("_id is null or count > 1")
+        if not odd.head(1):
+            return both.select(F.col("_id").cast("bigint").alias("_row"), "_id", "_text"), True
+    order = [F.col("_id").isNull(), F.col("_id"), F.coalesce("_text", F.lit(""))]
+    parts = max(1, docs.rdd.getNumPartitions())
+    placed = both.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return materialize(placed.select(F.monotonically_increasing_id().alias("_row"), "_id", "_text"), "line-rows"), False
+
+
+def _decided(rows: DataFrame) -> DataFrame:
+    """(row, line_no, class_row, class_no, removed) of every line with a word of the numbered rows."""
+    level = rarity(rows, "_text")
+    lines = materialize(signed_lines(rows, level, "_row", "_text"), "lines")
     found = classes(lines)
-    gone = removed_classes(docs, found, level, id_column, text_column)
+    gone = removed_classes(rows, found, level)
     marked = found.join(gone, (F.col("doc_id") == F.col("x_doc")) & (F.col("line_no") == F.col("x_no")), "left").select(
         F.col("h1").alias("c_h1"),
         F.col("h2").alias("c_h2"),
-        F.col("doc_id").alias("class_doc"),
+        F.col("doc_id").alias("class_row"),
         F.col("line_no").alias("class_no"),
         F.col("x_doc").isNotNull().alias("gone"),
     )
     joined = lines.join(marked, (F.col("h1") == F.col("c_h1")) & (F.col("h2") == F.col("c_h2")))
-    later = ~(F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("line_no") == F.col("class_no")))
-    return joined.select("doc_id", "line_no", "class_doc", "class_no", (F.col("gone") | later).alias("removed"))
+    later = (F.col("doc_id") != F.col("class_row")) | (F.col("line_no") != F.col("class_no"))
+    return joined.select(F.col("doc_id").alias("row"), "line_no", "class_row", "class_no", (F.col("gone") | later).alias("removed"))
 
 
 def digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -527,14 +566,19 @@ def digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     ``removed_lines`` are line numbers from 0, comma-joined; ``classes`` are the
     first places (document:line) of its lines' classes, in line order.
     """
-    per_line = decisions(docs, id_column, text_column)
-    listed = F.array_sort(F.collect_list(F.struct("line_no", "removed", "class_doc", "class_no")))
-    by_doc = per_line.groupBy(F.col("doc_id").alias("_id")).agg(listed.alias("x"))
-    ids = docs.select(F.col(id_column))
+    rows, plain = numbered(docs, id_column, text_column)
+    per_line = _decided(rows)
+    if plain:
+        per_line = per_line.withColumnRenamed("class_row", "class_id")
+    else:
+        names = rows.select(F.col("_row").alias("class_row"), F.coalesce(F.col("_id").cast("string"), F.lit("null")).alias("class_id"))
+        per_line = per_line.join(names, "class_row")
+    listed = F.array_sort(F.collect_list(F.struct("line_no", "removed", "class_id", "class_no")))
+    by_row = per_line.groupBy("row").agg(listed.alias("x"))
     gone = F.transform(F.filter("x", lambda r: r["removed"]), lambda r: r["line_no"].cast("string"))
-    class_of = F.transform("x", lambda r: F.concat_ws(":", r["class_doc"].cast("string"), r["class_no"].cast("string")))
-    return ids.join(by_doc, F.col(id_column).eqNullSafe(F.col("_id")), "left").select(
-        id_column,
+    class_of = F.transform("x", lambda r: F.concat_ws(":", r["class_id"].cast("string"), r["class_no"].cast("string")))
+    return rows.select("_row", "_id").join(by_row, F.col("_row") == F.col("row"), "left").select(
+        F.col("_id").alias(id_column),
         F.coalesce(F.size("x"), F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias("n_removed"),
         F.coalesce(F.array_join(gone, ","), F.lit("")).alias("removed_lines"),
@@ -543,14 +587,10 @@ def digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, text) with removed lines taken out; ids must be unique."""
-    gone = (
-        decisions(docs, id_column, text_column)
-        .where("removed")
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.collect_list("line_no").alias("_gone"))
-    )
-    kept = F.filter(F.split(text_column, "\n"), lambda x, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
-    return docs.select(id_column, text_column).join(gone, F.col(id_column) == F.col("_id"), "left").select(
-        id_column, F.array_join(kept, "\n").alias(text_column)
+    """(doc_id, text) of every row with removed lines taken out."""
+    rows, _ = numbered(docs, id_column, text_column)
+    gone = _decided(rows).where("removed").groupBy("row").agg(F.collect_list("line_no").alias("gone"))
+    kept = F.filter(F.split("_text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+    return rows.join(gone, F.col("_row") == F.col("row"), "left").select(
+        F.col("_id").alias(id_column), F.array_join(kept, "\n").alias(text_column)
     )

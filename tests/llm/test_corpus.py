@@ -339,23 +339,39 @@ def test_mixing_targets():
     assert [p.source for p in plans] == ["a", "b", None] and plans[1].target == 30 and plans[2].target == 0 and plans[0].target == 980
 
 
-def test_line_dedup(docs, rows, empty, monkeypatch):
-    lines = []
-    for i, t in sorted({(i, t or "") for i, t in rows}):
-        lines += [((i, k), frozenset(re.findall(r"[^\x20\x09-\x0D]+", x))) for k, x in enumerate(t.split("\n"))]
-    lines = [(p, w) for p, w in lines if w]
-    gone = set()
-    for j, (p, w) in enumerate(lines):
-        if any(9 * len(w & v) >= 4 * (len(w) + len(v)) for q, v in lines[:j] if 5 * min(len(v), len(w)) >= 4 * max(len(v), len(w))):
-            gone.add(p)
-    got = linededup.digest(docs).collect()
-    assert len(got) == len(rows)
-    found = {(r["doc_id"], int(k)) for r in got for k in r["removed_lines"].split(",") if k}
-    assert found == gone
+def brute_line_dedup(rows):
+    """(id, lines, removed, their numbers, classes) of rows in order of id (null last) and text."""
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode()))
+    lines = [(d, k, frozenset(re.findall(r"[^\x20\x09-\x0D]+", x))) for d, (_, t) in enumerate(order) for k, x in enumerate((t or "").split("\n"))]
+    lines, first, out = [x for x in lines if x[2]], {}, [[] for _ in order]
+    for j, (d, k, w) in enumerate(lines):
+        at = first.setdefault(w, (d, k))
+        gone = at != (d, k) or any(9 * len(w & v) >= 4 * (len(w) + len(v)) for _, _, v in lines[:j] if 5 * min(len(v), len(w)) >= 4 * max(len(v), len(w)))
+        out[d].append((k, gone, f"{'null' if order[at[0]][0] is None else order[at[0]][0]}:{at[1]}"))
+    # A class that an earlier class matches goes whole; its first line is the first to match.
+    gone = [[str(k) for k, g, _ in x if g] for x in out]
+    return [(i, len(x), len(g), ",".join(g), ",".join(c for *_, c in x)) for (i, _), x, g in zip(order, out, gone, strict=True)]
+
+
+def test_line_dedup(docs, rows, empty, spark, monkeypatch):
+    def same(df, rows):
+        got = sorted(map(tuple, linededup.digest(df).collect()), key=str)
+        assert got == sorted(brute_line_dedup(rows), key=str)
+
+    same(docs, rows)
+    unique = [(i, t) for i, t in rows if i != 10005 and i < 150 or i > 10005]
+    same(spark.createDataFrame(unique, "doc_id bigint, text string"), unique)
+    words = [f"w{k}" for k in range(40)]
+    near = [" ".join(words[:k] + ["x"] + words[k + 1 :]) for k in range(3)]
+    odd = [(None, near[0]), (None, near[1] + "\nown line"), (None, None), (3, near[2]), (3, "\n".join([near[1], "own line", "own line"])), (3, near[2]), (2, "own line"), (None, near[0])]
+    same(spark.createDataFrame(odd, "doc_id bigint, text string").withColumn("row", F.lit("clash")), odd)
+    kept = linededup.dedup(spark.createDataFrame(odd, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, "")] * 4 + [(2, "own line"), (3, ""), (3, ""), (3, near[2])]
     # Tokens split over grids of buckets, and a second round for what the first leaves open.
     monkeypatch.setattr(linededup, "BUCKET_ENTRIES", 30)
     monkeypatch.setattr(linededup, "EARLIEST", 1)
-    assert sorted(map(tuple, linededup.digest(docs).collect())) == sorted(map(tuple, got))
+    monkeypatch.setattr(linededup, "DEALT", 50)
+    same(docs, rows)
     assert linededup.digest(empty).count() == 0
     assert linededup.dedup(docs).count() == len(rows)
 
