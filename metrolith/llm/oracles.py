@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from . import licenses, secrets
+from .decontaminate import EPSILON, MIN_IDENTITY, MIN_ITEM
+from .decontaminate import MIN_WORDS as MIN_OVERLAP
 from .quality import LINE_LIMIT, MIN_WORDS, NGRAM_LIMITS, SYMBOL_LIMIT
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,4 +87,104 @@ FROM joined
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup(), "op10_quality": quality()}
+def decontamination() -> str:
+    """All diagonals on which a document and an item share enough words, and all stretches between two matches."""
+    share = f"{MIN_IDENTITY}::DOUBLE"
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS ws FROM benchmark),
+doc AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+item AS (
+  SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS j,
+         greatest(1, least({MIN_OVERLAP}, ceil({share} * len(ws) - {EPSILON}::DOUBLE))) AS needed
+  FROM b WHERE len(ws) >= {MIN_ITEM}),
+same AS (SELECT doc_id, item_id, i - j AS diagonal, j, needed FROM doc JOIN item USING (w)),
+likely AS (SELECT doc_id, item_id, diagonal FROM same GROUP BY ALL HAVING count(*) >= any_value(needed)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY j) AS r
+  FROM same JOIN likely USING (doc_id, item_id, diagonal)),
+best AS (
+  SELECT a.doc_id, a.item_id, max(z.r - a.r + 1) AS n_equal
+  FROM placed a JOIN placed z ON a.doc_id = z.doc_id AND a.item_id = z.item_id AND a.diagonal = z.diagonal AND a.r <= z.r
+  WHERE z.r - a.r + 1 >= a.needed AND z.r - a.r + 1 >= {share} * (z.j - a.j + 1) - {EPSILON}::DOUBLE
+  GROUP BY a.doc_id, a.item_id)
+SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items, max(n_equal)::BIGINT AS n_equal
+FROM best GROUP BY doc_id
+"""
+
+
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _spans(matches: str, gaps: str, i: str) -> str:
+    """Start and end of the i-th match, from what stands before and between the matches."""
+    start = f"list_sum(list_transform({gaps}[1:{i}], lambda x: length(x))) + coalesce(list_sum(list_transform({matches}[1:{i} - 1], lambda x: length(x))), 0)"
+    return f"({start})::BIGINT AS s, ({start} + length({matches}[{i}]))::BIGINT AS e"
+
+
+def licenses_scan() -> str:
+    """Base phrases by words; every rule behind its keywords, and suppression by pairs of detections."""
+    known = ", ".join(f"({r['i']}, {_text(r['label'])}, {r['p']}, {_text(r['k1'])}, {_text(r['k2'])}, {_text(r['re'])})" for r in licenses.rules())
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, {_text(label)} AS label, i - 1 AS w FROM places WHERE "
+        + " AND ".join(f"ws[i + {k}] = {_text(w)}" for k, w in enumerate(phrase))
+        for phrase, label in licenses.PHRASES
+    )
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH rules(i, label, p, k1, k2, re) AS (VALUES {known}),
+d AS (
+  SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low,
+         regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{licenses.WORD}') AS ws FROM documents),
+places AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS i FROM d),
+base AS ({places}),
+found AS (
+  SELECT doc_id, r.i, r.label, r.p, regexp_extract_all(t, r.re) AS ms, string_split_regex(t, r.re) AS gaps
+  FROM d JOIN rules r ON contains(low, r.k1) AND contains(low, r.k2)),
+each AS (SELECT *, unnest(generate_series(1, len(ms))) AS k FROM found WHERE len(ms) > 0),
+spans AS (SELECT doc_id, i, label, p, {_spans("ms", "gaps", "k")} FROM each),
+kept AS (
+  SELECT * FROM spans d WHERE NOT EXISTS (
+    SELECT 1 FROM spans o WHERE o.doc_id = d.doc_id AND o.s <= d.s AND o.e >= d.e AND (o.p > d.p OR (o.p = d.p AND
+      (o.e - o.s > d.e - d.s OR (o.e - o.s = d.e - d.s AND o.i < d.i)))))),
+labels AS (SELECT doc_id, label FROM base UNION SELECT doc_id, lower(label) FROM kept),
+named AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM labels GROUP BY doc_id),
+bases AS (
+  SELECT doc_id, count(*) AS n_base, min(w) AS first_word, max(w) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) AS n FROM kept GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       1 - pow(0.5::DOUBLE, coalesce(n, 0) + coalesce(n_base, 0)) AS score
+FROM d LEFT JOIN bases USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""
+
+
+def secrets_scan() -> str:
+    """Every rule over every text."""
+    rules = secrets.BASE + secrets.ADDED
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {o} AS o, {_text(r.kind)} AS kind, regexp_extract_all(t, {_text(r.regex)}) AS ms, "
+        f"regexp_extract_all(t, {_text(r.regex)}, {r.group}) AS gs, string_split_regex(t, {_text(r.regex)}) AS gaps, {r.least} AS least FROM d"
+        for o, r in enumerate(rules)
+    )
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE)
+    joined = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o){}, '')"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+each AS (SELECT *, unnest(generate_series(1, len(ms))) AS k FROM found WHERE len(ms) > 0),
+spans AS (SELECT doc_id, o, kind, {_spans("ms", "gaps", "k")} FROM each WHERE length(gs[k]) >= least)
+SELECT doc_id, {counts}, sha256({joined.format(f" FILTER (o < {len(secrets.BASE)})")}) AS base_sha256, {joined.format("")} AS spans
+FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": decontamination(),
+    "op4_licenses": licenses_scan(),
+    "op5_secrets": secrets_scan(),
+    "op8_line_dedup": line_dedup(),
+    "op10_quality": quality(),
+}

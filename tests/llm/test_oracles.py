@@ -13,7 +13,8 @@ SF = "/root/testdata/sf0.001"
 def test_sql(spark, name):
     df = QUERIES[name](spark, SF)
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     found = con.execute(ORACLE_SQL[name])
     names = [x[0] for x in found.description]
     assert sorted(names) == sorted(df.columns)
