@@ -156,6 +156,20 @@ def inside(column: Column, kind: str, scope: TimeScope, parse: Parse | None = No
     return (column >= _ntz(scope.start)) & (column < _ntz(scope.end))
 
 
+def prefix_days(df: DataFrame, parse: Parse, scope: TimeScope) -> Column:
+    """The scope's days on the bare prefix column, so that day partitions are pruned before hours are read."""
+    last = scope.end - timedelta(microseconds=1)
+    kind = dict(df.dtypes).get(parse.prefix, "string")
+    c = F.col(parse.prefix)
+
+    def between(day: str) -> Column:
+        low, high = (F.lit(t.strftime(day)).cast(kind) for t in (scope.start, last))
+        return c.between(low, high)
+
+    # Text may be written either way; integers hold yyyyMMdd.
+    return between("%Y-%m-%d") if kind == "date" else between("%Y%m%d") | between("%Y-%m-%d") if kind == "string" else between("%Y%m%d")
+
+
 def _midnight(t: datetime) -> datetime:
     return datetime(t.year, t.month, t.day)
 

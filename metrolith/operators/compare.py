@@ -107,11 +107,20 @@ def coordinate(f: Frame, how: Alignment) -> Column:
     """The coordinate on which a policy pairs buckets."""
     day, first = F.col(f.time).cast("date"), F.lit(str(f.scope.start.date())).cast("date")
     if how.kind == "day_of_week":
-        period = T.bucket(F.col(f.time).cast("timestamp_ntz"), how.within)
-        week = F.floor(F.datediff(day, period) / 7) + 100 * F.months_between(T.bucket(F.col(f.time).cast("timestamp_ntz"), T.Grain("month")), F.trunc(first, "month"))
-        return F.concat_ws("-", week.cast("int"), F.weekday(day) + 1)
+        # The period's place in the window, the week in the period, the ISO weekday.
+        within = T.grain(how.within)
+        period, start = T.bucket(day.cast("timestamp_ntz"), within), F.lit(str(T.floor(f.scope.start, within).date())).cast("date")
+        months = {"month": 1, "quarter": 3, "year": 12}.get(within.unit)
+        days = {"week": 7, "day": 1}.get(within.unit)
+        if months is None and days is None:
+            raise PlanError("alignment-grain", within.unit)
+        nth = F.months_between(period, start) / months if months else F.datediff(period, start) / days
+        return F.concat_ws("-", F.round(nth).cast("int"), F.floor(F.datediff(day, period) / 7).cast("int"), F.weekday(day) + 1)
     if how.kind == "period_progress":
-        return F.datediff(day, first).cast("string")
+        ordinal = F.datediff(day, first).cast("string")
+        if f.grain is not None and f.grain.unit in T.SECONDS:
+            return F.concat(ordinal, F.date_format(F.col(f.time).cast("timestamp_ntz"), " HH:mm:ss"))
+        return ordinal
     if how.kind == "occurrence_progress":
         last = F.lit(str(f.scope.end.date())).cast("date")
         return (F.datediff(day, first) if how.anchor == "start" else F.datediff(day, last)).cast("string")

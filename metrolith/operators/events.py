@@ -46,11 +46,20 @@ def every_start(*, completion_assignment: str) -> Matching:
     return Matching("every_start", completion_assignment)
 
 
-def occurrences(catalog, events: list[str], start: datetime | None = None, end: datetime | None = None, cohort: DataFrame | None = None) -> DataFrame:
-    """(event, subject, id, ts) of every occurrence in [start, end); subject and id are structs of key columns."""
+def occurrences(
+    catalog, events: list[str], start: datetime | None = None, end: datetime | None = None, cohort: DataFrame | None = None, role: str | None = None
+) -> DataFrame:
+    """(event, subject, id, ts) of every occurrence in [start, end); subject and id are structs of key columns.
+
+    ``role`` takes the participants of a named role of each event as subjects; the
+    cohort then keeps the occurrences in which a member has that role.
+    """
     parts = []
     for name in dict.fromkeys(events):
         e = catalog.events[name]
+        if role is not None and role not in e.roles:
+            raise PlanError("event-role-unknown", f"{name}: {role}")
+        subject = e.roles[role] if role is not None else e.subject
         df = catalog.frame(e.entity)
         if e.where is not None:
             df = df.where(e.where(df))
@@ -63,7 +72,7 @@ def occurrences(catalog, events: list[str], start: datetime | None = None, end:
         safe = F.when(missing, F.raise_error(F.lit(f"event-identity-missing: {name}"))).otherwise(ts)
         parts.append(
             df.select(
-                F.lit(name).alias("event"), F.struct(*(F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(e.subject))).alias("subject"),
+                F.lit(name).alias("event"), F.struct(*(F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(subject))).alias("subject"),
                 F.struct(*(F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(e.identity))).alias("id"), safe.cast("timestamp_ntz").alias("ts"),
             )
         )
@@ -80,6 +89,19 @@ def occurrence_bounds(catalog, event: str) -> DataFrame:
     return df.agg(F.min(e.occurred_at).alias("first_at"), F.max(e.occurred_at).alias("last_at"), F.count("*").alias("n"))
 
 
+def watermark(catalog, events: list[str]) -> DataFrame:
+    """(event, observed_from, observed_through, occurrences) of each event; what a receipt of coverage states."""
+    found = occurrences(catalog, events).groupBy("event").agg(F.min("ts").alias("observed_from"), F.max("ts").alias("observed_through"), F.count("*").alias("occurrences"))
+    known = catalog.spark.createDataFrame([(e,) for e in dict.fromkeys(events)], "event string")
+    return known.join(found, "event", "left").withColumn("occurrences", F.coalesce("occurrences", F.lit(0)))
+
+
+def covered_by(receipt: DataFrame) -> datetime | None:
+    """The moment through which every event of a watermark is observed; None if one never occurred."""
+    r = receipt.agg(F.min("observed_through").alias("t"), F.count_if(F.col("observed_through").isNull()).alias("n")).first()
+    return None if r["n"] else r["t"]
+
+
 def duplicate_identities(catalog, event: str) -> DataFrame:
     """Identities that occur more than once."""
     e = catalog.events[event]
@@ -103,38 +125,48 @@ def _walk(steps: tuple[Step, ...], ordered: Column, begin: Column) -> Column:
     return F.aggregate(ordered, empty, merge)
 
 
-def _every_start(steps, assignment, ordered_rows, cohort_end):
-    """Journeys of one subject: each start takes the earliest later occurrence of each next step.
+_OCCURRENCE = "struct<ts:timestamp_ntz,event:string,id:string>"
+
 
-    Exclusive occurrences belong to one journey; starts are served in order.
+def _every_start(steps: tuple[Step, ...], assignment: str, ordered: Column, begin: Column) -> Column:
+    """The paths of all journeys of a subject, by one fold over its ordered occurrences.
+
+    Each start takes the earliest later occurrence of each next step.  An exclusive
+    occurrence goes to the first journey, by start, that waits for it, and is then no
+    start itself; a shared one goes to all.  Journeys that are complete wait no more.
     """
-    used, out = set(), []
-    for k, (ts, event, ident) in enumerate(ordered_rows):
-        if event != steps[0].event or ts >= cohort_end or k in used:
-            continue
-        taken, at = [k], k
-        for s in steps[1:]:
-            found = next(
-                (j for j in range(at + 1, len(ordered_rows)) if ordered_rows[j][1] == s.event and j not in taken and (assignment == "shared" or j not in used)),
-                None,
-            )
-            if found is None:
-                break
-            if ordered_rows[found][0] == ordered_rows[at][0] and ordered_rows[found][1] != ordered_rows[at][1]:
-                raise ValueError("ambiguous-event-order")
-            taken.append(found)
-            at = found
-        if assignment == "exclusive":
-            used |= set(taken)
-        out.append([ordered_rows[j] for j in taken])
-    return out
+    names = F.array(*(F.lit(s.event) for s in steps))
+    empty = F.array().cast(f"array<array<{_OCCURRENCE}>>")
+    bad = F.raise_error(F.lit("ambiguous-event-order")).cast(f"array<{_OCCURRENCE}>")
+
+    def merge(acc, o):
+        def waits(path):
+            return (F.size(path) < len(steps)) & (F.get(names, F.size(path)) == o["event"])
+
+        def taken(path):
+            last = F.get(path, F.size(path) - 1)
+            tied = (last["ts"] == o["ts"]) & (last["event"] != o["event"])
+            return F.when(tied, bad).otherwise(F.concat(path, F.array(o)))
+
+        some = F.exists(acc, waits)
+        if assignment == "shared":
+            moved = F.transform(acc, lambda p: F.when(waits(p), taken(p)).otherwise(p))
+            starts = (o["event"] == steps[0].event) & begin(o)
+        else:
+            first = F.array_position(F.transform(acc, waits), True) - 1
+            moved = F.transform(acc, lambda p, i: F.when(i == first, taken(p)).otherwise(p))
+            starts = (o["event"] == steps[0].event) & begin(o) & ~some
+        moved = F.when(some, moved).otherwise(acc)
+        return F.when(starts, F.concat(moved, F.array(F.array(o)))).otherwise(moved)
+
+    return F.aggregate(ordered, empty, merge)
 
 
-def match(catalog, *, pattern: tuple[Step, ...], cohort_window: T.TimeScope, completion_through, matching: Matching = Matching(), covered_through=None, cohort=None) -> Frame:
+def match(catalog, *, pattern: tuple[Step, ...], cohort_window: T.TimeScope, completion_through, matching: Matching = Matching(), covered_through=None, cohort=None, role: str | None = None) -> Frame:
     """Journeys: one row for each journey and step, reached or not."""
     through = T._moment(completion_through)
     covered = T._moment(covered_through) if covered_through else through
-    rows = occurrences(catalog, [s.event for s in pattern], cohort_window.start, through, cohort)
+    rows = occurrences(catalog, [s.event for s in pattern], cohort_window.start, through, cohort, role)
     flat = rows.select("subject", F.struct("ts", "event", F.to_json("id").alias("id")).alias("o"))
     listed = flat.groupBy("subject").agg(F.array_sort(F.collect_list("o")).alias("os"))
     limit = T._ntz(cohort_window.end)
@@ -142,25 +174,8 @@ def match(catalog, *, pattern: tuple[Step, ...], cohort_window: T.TimeScope, com
         journeys = listed.select("subject", _walk(pattern, F.col("os"), lambda o: o["ts"] < limit).alias("path")).where(F.size("path") > 0)
         journeys = journeys.withColumn("nth", F.lit(0))
     else:
-        end, steps, assignment = cohort_window.end, pattern, matching.assignment
-
-        def run(key, pdf):
-            import pandas as pd
-
-            found = _every_start(steps, assignment, list(zip(pdf["ts"], pdf["event"], pdf["id"], strict=True)), end)
-            subject = pdf["subject"].iloc[0] if len(pdf) else None
-            return pd.DataFrame(
-                [(subject, i, j, x[0], x[1], x[2]) for i, path in enumerate(found) for j, x in enumerate(path)],
-                columns=["subject", "nth", "place", "ts", "event", "id"],
-            )
-
-        exploded = flat.select(F.to_json("subject").alias("subject"), "o.ts", "o.event", "o.id")
-        kept = exploded.groupBy("subject").applyInPandas(
-            lambda key, pdf: run(key, pdf.sort_values(["ts", "event", "id"])), "subject string, nth int, place int, ts timestamp_ntz, event string, id string"
-        )
-        kind = next(f.dataType for f in rows.schema.fields if f.name == "subject").simpleString()
-        journeys = kept.groupBy("subject", "nth").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "ts", "event", "id"))), lambda x: F.struct(x["ts"].alias("ts"), x["event"].alias("event"), x["id"].alias("id"))).alias("path"))
-        journeys = journeys.withColumn("subject", F.from_json("subject", kind))
+        paths = _every_start(pattern, matching.assignment, F.col("os"), lambda o: o["ts"] < limit)
+        journeys = listed.select("subject", F.posexplode(paths).alias("nth", "path"))
     done = F.size("path") == len(pattern)
     status = F.when(done, "complete").when(F.lit(covered >= through), "incomplete").otherwise("coverage_censored")
     journeys = journeys.withColumn("completion_status", status).withColumn("journey_id", F.concat(F.to_json("subject"), F.lit("#"), F.col("nth")))

@@ -517,13 +517,6 @@ def attribute_distinct(c):
     return out.drop("share_of_total_delta", "share_of_positive_pool", "share_of_negative_pool", "rank")
 
 
-@query()
-def attribute_quantile(c):
-    o = c.frame("orders").where("o_totalprice is not null").withColumn("thousands", F.floor(F.col("o_totalprice") / 1000).cast("double"))
-    sides = [o.where(T.inside(F.col("o_orderdate"), "timestamp_ntz", s)) for s in (Y97, Y96)]
-    return attribute.quantile(*sides, "o_orderpriority", "thousands", 0.5)
-
-
 @query(f"with x as (select 'order_count' as component, (count(*) filter (where {IN97}) - count(*) filter (where {IN96}))::double d from orders union all select 'urgent_count', -(count(*) filter (where {IN97} and o_orderpriority = '1-URGENT') - count(*) filter (where {IN96} and o_orderpriority = '1-URGENT'))::double from orders) select component, {SHARES}, row_number() over (order by abs(d) desc, component) as rank from x")
 def attribute_linear(c):
     terms = [(s, m, compare.compare(observe(c, m, time_scope=Y97), observe(c, m, time_scope=Y96))) for s, m in ((1, "order_count"), (-1, "urgent_count"))]
@@ -562,9 +555,9 @@ def discover_cross_sectional_outliers(c):
     return discover.cross_sectional_outliers(_daily(c), threshold=2.0, limit=None).df.drop("item_id")
 
 
-@query()
+@query(f"with x as (select * from ({DAILY}) where d >= '2024-01-01' and d < '2024-02-01'), r as (select *, avg(v) over (partition by e order by d rows between 6 preceding and current row) m, row_number() over (partition by e order by d) i, count(*) over (partition by e) n from x), y as (select *, case when n < 4 then 0 else coalesce((m - avg(m) over (partition by e)) / nullif(stddev_pop(m) over (partition by e), 0), 0) end q from r), z as (select *, sum(case when abs(q) >= 1 then 0 else 1 end) over (partition by e order by d) run from y) select e as event_type, min(d) as window_start, max(d) as window_end, round(arg_max(q, abs(q)), 4) as score from z where abs(q) >= 1 group by e, run having min(i) > 1")
 def discover_period_shifts(c):
-    return discover.period_shifts(_daily(c), threshold=1.0, limit=None)
+    return discover.period_shifts(_daily(c), threshold=1.0, limit=None).df.drop("item_id")
 
 
 @query(f"with x as (select * from ({DAILY}) where d >= '2024-01-01' and d < '2024-02-01'), y as (select *, (v - avg(v) over (partition by e)) / nullif(stddev_pop(v) over (partition by e), 0) q, count(*) over (partition by e) n from x), z as (select *, sum(case when abs(coalesce(q, 0)) >= 1 and n >= 4 then 0 else 1 end) over (partition by e order by d) run from y) select e as event_type, min(d) as window_start, max(d) as window_end, round(max(abs(q)), 4) as score from z where abs(q) >= 1 and n >= 4 group by e, run")
@@ -635,14 +628,16 @@ def forecast_naive(c):
     return out.select("time", *(F.round(x, 2).alias(x) for x in ("predicted", "lower", "upper")), "horizon_index")
 
 
-@query(f"with h as ({HISTORY}), z as (select max(t) t from h) select cast(z.t + to_months(g.h::int) as date) as time, round(h.y, 2) as predicted, g.h as horizon_index from z, generate_series(1, 6) g(h) join h on h.t = cast(z.t + to_months(g.h::int - 12) as date)")
+@query(f"with h as ({HISTORY}), r as (select stddev_samp(y - l) sd from (select y, lag(y, 12) over (order by t) l from h)), z as (select max(t) t from h) select cast(z.t + to_months(g.h::int) as date) as time, round(h.y, 2) as predicted, round(h.y - 1.959963984540054 * sd * sqrt(g.h), 2) as lower, round(h.y + 1.959963984540054 * sd * sqrt(g.h), 2) as upper, g.h as horizon_index from z, r, generate_series(1, 6) g(h) join h on h.t = cast(z.t + to_months(g.h::int - 12) as date)")
 def forecast_seasonal_naive(c):
-    return stats.forecast(_history(c), horizon=6).df.select("time", F.round("predicted", 2).alias("predicted"), "horizon_index")
+    out = stats.forecast(_history(c), horizon=6).df
+    return out.select("time", *(F.round(x, 2).alias(x) for x in ("predicted", "lower", "upper")), "horizon_index")
 
 
-@query(f"with h as ({HISTORY}), z as (select arg_max(y, t) y, arg_min(y, t) a, count(*) n from h) select round(y + h * (y - a) / (n - 1), 2) as predicted, h as horizon_index from z, generate_series(1, 4) g(h)")
+@query(f"with h as (select *, row_number() over (order by t) - 1 i from ({HISTORY})), z as (select arg_max(y, t) y, arg_min(y, t) a, count(*) n from h), r as (select stddev_samp(h.y - (a + (z.y - a) * i / (n - 1))) sd from h, z) select round(y + h * (y - a) / (n - 1), 2) as predicted, round(y + h * (y - a) / (n - 1) - 1.959963984540054 * sd * sqrt(h), 2) as lower, round(y + h * (y - a) / (n - 1) + 1.959963984540054 * sd * sqrt(h), 2) as upper, h as horizon_index from z, r, generate_series(1, 4) g(h)")
 def forecast_drift(c):
-    return stats.forecast(_history(c), horizon=4, model="drift").df.select(F.round("predicted", 2).alias("predicted"), "horizon_index")
+    out = stats.forecast(_history(c), horizon=4, model="drift").df
+    return out.select(*(F.round(x, 2).alias(x) for x in ("predicted", "lower", "upper")), "horizon_index")
 
 
 # --- events and lifecycles ----------------------------------------------------------------------------
@@ -674,12 +669,6 @@ def events_time_to_event(c):
     return out.select(F.col("subject_identity.k0").alias("subject"), "start_time", "end_time", F.round(F.unix_micros(F.col("end_time").cast("timestamp")) / 1e6 - F.unix_micros(F.col("start_time").cast("timestamp")) / 1e6, 0).alias("seconds"))
 
 
-@query()
-def events_match_every_start(c):
-    pattern = events.sequence(events.step(event="view", key="view"), events.step(event="purchase", key="purchase"))
-    return events.match(c, pattern=pattern, cohort_window=COHORT, completion_through="2024-01-31", matching=events.every_start(completion_assignment="exclusive")).df.drop("elapsed_from_start", "elapsed_from_previous")
-
-
 @query("select min(ts) as first_at, max(ts) as last_at, count(*) as n from events where event_type = 'purchase'")
 def events_occurrence_bounds(c):
     return events.occurrence_bounds(c, "purchase")
@@ -726,11 +715,6 @@ def lifecycle_dwell(c):
     return lifecycle.dwell(_replay(c)).select("model_state", "interval_count", "completed_count", "right_censored_count")
 
 
-@query()
-def lifecycle_violations(c):
-    return lifecycle.violations(_replay(c)).groupBy("violation_kind").agg(F.count("*").alias("n"))
-
-
 @query(f"{HISTORY_SQL} select cast(u as varchar) as subject from h where s = 'customer' and a <= '2024-01-15' and coalesce(z, timestamp '2024-02-01') > '2024-01-15'")
 def subjects_in_state(c):
     return lifecycle.in_state(_replay(c), "customer", "2024-01-15 00:00:00").select(F.col("subject_identity.k0").alias("subject"))

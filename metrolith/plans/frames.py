@@ -58,5 +58,10 @@ class Frame:
 
         return Transforms(self)
 
+    def sorted(self) -> DataFrame:
+        """The rows in their stable order: by time and keys, nulls last."""
+        names = [c for c in self.axes if c in self.df.columns]
+        return self.df.orderBy(*(self.df[c].asc_nulls_last() for c in names)) if names else self.df
+
     def to_pandas(self):
-        return self.df.toPandas()
+        return self.sorted().toPandas()

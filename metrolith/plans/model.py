@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metrolith.functions.errors import PlanError
@@ -98,7 +98,7 @@ class Metric:
     body: Callable[[DataFrame], Column] | None = None
     fanout: str = "block"
     additivity: str | SemiAdditive = "additive"
-    anchor: Grain | tuple[int, str] | None = None  # Grain: to date; (n, unit): trailing
+    anchor: Grain | CalendarAnchor | tuple[int, str] | None = None  # Grain, CalendarAnchor: to date; (n, unit): trailing
     over: str | None = None
     zero_division: str = "null"
     unit: str | None = None
@@ -113,6 +113,7 @@ class Event:
     occurred_at: str
     subject: tuple[str, ...]
     where: Callable[[DataFrame], Column] | None = None
+    roles: Mapping[str, tuple[str, ...]] = field(default_factory=dict)  # other participants: name -> key columns
 
 
 @dataclass(frozen=True)
@@ -139,6 +140,14 @@ class PeriodCalendar:
     correspondences: Mapping[str, str] = field(default_factory=dict)
 
 
+@dataclass(frozen=True)
+class CalendarAnchor:
+    """To date within the periods of a calendar's level."""
+
+    calendar: str
+    level: str
+
+
 def additivity_of(parts: list[str | SemiAdditive]) -> str:
     """A linear combination adds up only if every term does."""
     return "additive" if all(p == "additive" for p in parts) else "non_additive"
@@ -282,9 +291,10 @@ class Catalog:
     def slice(self, name, metric, by) -> str:
         return self._metric(Metric(name, "slice", children=((1, self.metric_of(metric).name),), where=tuple(by.items())))
 
-    def event(self, name, entity, *, identity, occurred_at, subject, where=None) -> str:
+    def event(self, name, entity, *, identity, occurred_at, subject, where=None, roles=None) -> str:
         self._entity(entity)
-        return self._add(self.events, name, Event(name, entity, tuple(identity), occurred_at, tuple(subject), where))
+        named = {k: tuple(v) for k, v in (roles or {}).items()}
+        return self._add(self.events, name, Event(name, entity, tuple(identity), occurred_at, tuple(subject), where, named))
 
     def state_model(self, name, subject, *, states, initial, inceptions, transitions, terminal=()) -> str:
         known = set(states)
@@ -351,6 +361,35 @@ class Catalog:
                         problems.append(f"key-missing: {entity}.{column}")
         return problems
 
+    def calendar_days(self, calendar: str, level: str) -> DataFrame:
+        """(_cal_day, period_key) of a calendar's level; a row for each civil day."""
+        if calendar not in self.calendars:
+            raise PlanError("calendar-unknown", calendar)
+        c = self.calendars[calendar]
+        if level not in c.levels:
+            raise PlanError("calendar-level-unknown", level)
+        return c.source(self.spark).select(F.col(c.date).cast("date").alias("_cal_day"), F.col(c.levels[level]).alias("period_key"))
+
+    def periods(self, calendar: str, level: str, through: str | None = None) -> DataFrame:
+        """(period_key, period_start, period_end, ordinal, is_complete) of a certified level, in order.
+
+        The end is exclusive; a period is complete if it ends by ``through`` (None: all are).
+        """
+        spans = self.calendar_days(calendar, level).groupBy("period_key").agg(
+            F.min("_cal_day").alias("period_start"), F.date_add(F.max("_cal_day"), 1).alias("period_end")
+        )
+        ordinal = (F.row_number().over(Window.orderBy("period_start")) - 1).cast("bigint")  # a row for each period
+        done = F.lit(True) if through is None else F.col("period_end") <= F.lit(through).cast("date")
+        return spans.select("period_key", "period_start", "period_end", ordinal.alias("ordinal"), done.alias("is_complete"))
+
+    def period_on(self, calendar: str, level: str, day: str):
+        """The row of ``periods`` that holds a day."""
+        at = F.lit(day).cast("date")
+        found = self.periods(calendar, level).where((F.col("period_start") <= at) & (at < F.col("period_end"))).first()
+        if found is None:
+            raise PlanError("period-missing", f"{calendar}.{level} on {day}")
+        return found
+
     def certify(self, calendar: str, level: str) -> dict[str, int]:
         """Repeated dates, dates missing between the first and last, and periods that are not contiguous."""
         c = self.calendars[calendar]

@@ -171,6 +171,8 @@ class Observation:
             kind = dict(df.dtypes).get(self.time.body if isinstance(self.time.body, str) else "", "timestamp_ntz")
             if scope:
                 p = self.time.parse
+                if p.kind == "hour_prefix" and not p.timezone:
+                    df = df.where(T.prefix_days(df, p, scope))
                 if p.kind in ("datetime", "timestamp") and not p.timezone:
                     df = df.where(T.inside(raw, kind, scope, p))
                 else:

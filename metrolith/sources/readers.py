@@ -38,7 +38,7 @@ def table(name: str, *, database: str | None = None, columns: Mapping[str, tuple
     return read
 
 
-def parquet(path: str, *, hive_partitioning: bool = False, columns=None):
+def parquet(path: str, *, hive_partitioning: bool = True, columns=None):
     def read(spark: SparkSession) -> DataFrame:
         reader = spark.read if hive_partitioning else spark.read.option("recursiveFileLookup", "true")
         df = reader.parquet(path)

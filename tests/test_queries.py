@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from metrolith.plans.catalog_queries import ORACLE_SQL, QUERIES
+from metrolith.plans.operator_queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
