@@ -277,7 +277,7 @@ s as (select * from e where t = 'purchase' or ts < '2024-01-20'),
 b as (select *, sum(case when t = 'view' then 1 else 0 end) over w v, sum(case when t = 'purchase' then 1 else 0 end) over w p from s window w as (partition by u order by i)),
 l as (select *, greatest(0, -min(v - p) over (partition by u order by i)) lost from b),
 m as (select *, p - lost n, lost - coalesce(lag(lost) over (partition by u order by i), 0) fresh from l),
-j as (select a.u, a.v - 1 nth, a.ts t0, z.ts t1 from m a left join m z on z.u = a.u and z.t = 'purchase' and z.fresh = 0 and z.n = a.v where a.t = 'view')"""
+j as (select a.u, cast(a.v - 1 as bigint) nth, a.ts t0, z.ts t1 from m a left join m z on z.u = a.u and z.t = 'purchase' and z.fresh = 0 and z.n = a.v where a.t = 'view')"""
 
 
 @query(f"with {QUEUE} select cast(u as varchar) as subject, nth, 'view' as step_key, t0 as occurred_at, case when t1 is null then 'incomplete' else 'complete' end as completion_status from j union all select cast(u as varchar), nth, 'purchase', t1, case when t1 is null then 'incomplete' else 'complete' end from j")
