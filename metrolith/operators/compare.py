@@ -132,7 +132,7 @@ def _policy(current: Frame, baseline: Frame, how: Alignment) -> DataFrame:
     a, b = current.df, baseline.df
     if how.kind == "period_correspondence":
         m = how.mapping.toDF("_cur", "_base")
-        a = a.join(F.broadcast(m), F.col(current.time).eqNullSafe(F.col("_cur"))).withColumn("align_key", F.col("_base").cast("string")).drop("_cur", "_base")
+        a = a.join(m, F.col(current.time).eqNullSafe(F.col("_cur"))).withColumn("align_key", F.col("_base").cast("string")).drop("_cur", "_base")
         b = b.withColumn("align_key", F.col(baseline.time).cast("string"))
     elif how.kind == "working_day_progress":
         s = how.mapping.toDF("_day", "_works")
@@ -141,7 +141,7 @@ def _policy(current: Frame, baseline: Frame, how: Alignment) -> DataFrame:
             days = s.where((F.col("_day") >= F.lit(str(f.scope.start.date())).cast("date")) & (F.col("_day") < F.lit(str(f.scope.end.date())).cast("date")))
             n = F.sum(F.col("_works").cast("int")).over(Window.orderBy("_day"))  # one row per calendar day
             numbered = days.withColumn("align_key", n.cast("string")).where("_works").select("_day", "align_key")
-            return df.join(F.broadcast(numbered), F.col(f.time).cast("date") == F.col("_day")).drop("_day")
+            return df.join(numbered, F.col(f.time).cast("date") == F.col("_day")).drop("_day")
 
         a, b = nth(current, a), nth(baseline, b)
     else:

@@ -74,7 +74,7 @@ class Transforms:
         """Sum days into a calendar's periods."""
         f = self.f
         days = calendar.select(F.col(date).cast("date").alias("_d"), F.col(level).alias("_p"))
-        joined = f.df.join(F.broadcast(days), F.col(f.time).cast("date") == F.col("_d"))
+        joined = f.df.join(days, F.col(f.time).cast("date") == F.col("_d"))
         out = joined.groupBy(F.col("_p").alias("period_key"), *f.keys).agg(*(F.sum(v).alias(v) for v in f.values))
         return f.having(out, time="period_key", grain=None)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from metrolith.functions import time as T
+
 from .planner import Observation, aggregate_column
 
 
@@ -23,6 +25,16 @@ def fold(catalog, m, ob: Observation) -> DataFrame:
     return spatial.groupBy(*ob.axis_names).agg(column.alias(m.name))
 
 
+def expected_points(catalog, m, grain: T.Grain | None) -> int | None:
+    """How many sample points a bucket should have; None where neither grain nor sampling has a fixed length."""
+    t = catalog.field(m.additivity.over)
+    every = t.parse.sample_interval or (1, t.granularity)
+    lengths = {**T.SECONDS, "day": 86_400, "week": 604_800}
+    if grain is None or grain.unit not in lengths or every[1] not in lengths:
+        return None
+    return lengths[grain.unit] * grain.count // (lengths[every[1]] * every[0]) or None
+
+
 def coverage(catalog, m, ob: Observation, expected: int) -> DataFrame:
     """Distinct sample points of each group against those expected."""
     t = catalog.field(m.additivity.over)

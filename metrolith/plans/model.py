@@ -346,9 +346,23 @@ class Catalog:
             raise PlanError("metric-too-deep", m.name)
         return found
 
+    def occurrences(self, m: Metric) -> int:
+        """How many metrics an expression names, repeats included."""
+        return 1 + sum(self.occurrences(c) for c in self.children(m))
+
     def verify(self) -> list[str]:
-        """Problems that show without running a query: references, cycles, key columns."""
+        """Problems that show without running a query: references, cycles, columns of keys, fields, events and calendars."""
         problems = []
+        for f in self.fields.values():
+            if isinstance(f.body, str) and f.body not in self.frame(f.entity).columns:
+                problems.append(f"field-column-missing: {f.id} ({f.body})")
+        for e in self.events.values():
+            for column in dict.fromkeys([*e.identity, e.occurred_at, *e.subject, *(x for r in e.roles.values() for x in r)]):
+                if column not in self.frame(e.entity).columns:
+                    problems.append(f"event-column-missing: {e.name} ({column})")
+        for c in self.calendars.values():
+            there = c.source(self.spark).columns
+            problems += [f"calendar-column-missing: {c.name} ({x})" for x in (c.date, *c.levels.values()) if x not in there]
         for m in self.metrics.values():
             try:
                 self.depth(m)

@@ -27,7 +27,7 @@ from metrolith.plans.catalog_queries import (  # noqa: F401
     _two,
     query,
 )
-from metrolith.plans.model import CalendarAnchor, Validity
+from metrolith.plans.model import CalendarAnchor, SemiAdditive, Validity
 from metrolith.plans.planner import observe
 from metrolith.plans.session import Session
 from metrolith.sources import inspect, readers
@@ -430,3 +430,61 @@ def source_json_records(c):
 @query("select least(200, count(*)) as n from orders")
 def source_sample(c):
     return inspect.sample(c.frame("orders"), max_rows=200)[0].agg(F.count("*").alias("n"))
+
+
+@query("select o_orderstatus, o_orderpriority, count(*) as rows from orders group by all order by 1, 2 limit 7")
+def source_partitions(c):
+    return inspect.partitions(c.frame("orders"), ["o_orderstatus", "o_orderpriority"], 7)
+
+
+@query("select min(o_orderdate)::timestamp as first, max(o_orderdate)::timestamp as last, count(*) as rows, count(*) - count(o_orderdate) as missing, count(distinct cast(o_orderdate as date)) as days from orders")
+def source_extent(c):
+    return inspect.extent(c.frame("orders"), "o_orderdate")
+
+
+@query("select count(*) as rows, count(*) - count(event_type) as nulls, count(distinct event_type) as distinct, round((select max(n) from (select count(*) n from events where event_type is not null group by event_type)) / count(*), 4) as top_share from events")
+def source_dimension_evidence(c):
+    return inspect.dimension_evidence(c.frame("events"), "event_type")
+
+
+@query("select count(*) as rows, count(*) - count(value) as nulls, count(*) filter (value < 0) as negatives, count(*) filter (value = 0) as zeros, round(sum(value), 4) as total, round(min(value), 4) as least, round(max(value), 4) as most from events")
+def source_measure_evidence(c):
+    return inspect.measure_evidence(c.frame("events"), "value")
+
+
+@query("select n_name, count(*) as value from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where c_mktsegment in ('BUILDING') group by all")
+def subjects_cohort_by_path(c):
+    """A cohort of market segments, along the path from orders to customers."""
+    members = c.frame("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_mktsegment").alias("member")).distinct()
+    return observe(c, "order_count", dimensions=["n_name"], cohort=("c_mktsegment", members))
+
+
+@query("with s as (select date_trunc('hour', ts) h from events where ts >= '2024-01-02' and ts < '2024-01-06' group by all) select cast(h as date) as bucket_start, count(*) as sample_points, 24 as expected_points, round(count(*) / 24, 4) as coverage, case when count(*) = 24 then 'complete' else 'partial' end as status from s group by all")
+def fold_coverage(c):
+    c.entity("hourly", c.frame("events").withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz")), primary_key=["event_id"])
+    c.time_dimension("hour", "hourly", granularity="hour")
+    c.measure("level", "hourly", "value", additivity=SemiAdditive("hourly.hour", "mean"))
+    c.aggregate("mean_level", "level", "sum")
+    return observe(c, "mean_level", time_scope=T.time_scope(start="2024-01-02", end="2024-01-06"), grain="day").coverage
+
+
+@query(f"{HALVES} select 'funnel_delta_math' as check_id, 'blocking' as severity, cast((select count(*) from a join b using (parity)) as varchar) as details union all select 'funnel_delta_counts', 'ok', '0'")
+def quality_funnel_delta(c):
+    d = compare.compare_funnels(_half(c, "2024-01-15", "2024-01-29"), _half(c, "2024-01-01", "2024-01-15"))
+    off = F.when(F.col("step_key") == "purchase", F.col("loss_rate_from_previous_delta") + 1).otherwise(F.col("loss_rate_from_previous_delta"))
+    return quality.assess_quality(d.having(d.df.withColumn("loss_rate_from_previous_delta", off))).df.select("check_id", "severity", "details")
+
+
+@query(f"{HALVES} select 'funnel_attribution_kinds' as check_id, 'blocking' as severity, cast(count(*) as varchar) as details from a join b using (parity)")
+def quality_funnel_attribution(c):
+    sides = [_half(c, s, e).df for s, e in (("2024-01-15", "2024-01-29"), ("2024-01-01", "2024-01-15"))]
+    found = attribute.funnel_loss(*sides, ["parity"], "purchase")
+    cut = found.having(found.df.where("contribution_kind = 'loss'"))
+    return quality.assess_quality(cut).df.where("check_id = 'funnel_attribution_kinds'").select("check_id", "severity", "details")
+
+
+@query(f"{HISTORY_SQL} select 'lifecycle_history_trace' as check_id, 'blocking' as severity, cast(count(*) filter (where s <> 'active') as varchar) as details from h union all select 'lifecycle_censoring', 'warning', cast(count(*) filter (where z is null) as varchar) from h")
+def quality_lifecycle(c):
+    h = _replay(c)
+    moved = h.df.withColumn("entered_by_event_ref", F.lit("unknown"))
+    return quality.assess_quality(h.having(moved)).df.where("check_id in ('lifecycle_history_trace', 'lifecycle_censoring')").select("check_id", "severity", "details")

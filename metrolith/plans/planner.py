@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections import deque
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrolith.functions import time as T
@@ -83,9 +83,10 @@ def _version_rows(right: DataFrame, v, how: str, at: str | None):
     """Rows of a versioned entity that hold now (latest) or at a given day."""
     if isinstance(v, Snapshot):
         if how == "latest":
-            anchor = F.lit(at) if at else None
-            newest = right.agg(F.max(v.partition)).first()[0] if anchor is None else at
-            return right.where(F.col(v.partition) == newest)
+            if at is not None:
+                return right.where(F.col(v.partition) == F.lit(at))
+            newest = right.agg(F.max(v.partition).alias("_newest"))  # one row; partitions are pruned by it at run time
+            return right.join(F.broadcast(newest), F.col(v.partition) == F.col("_newest"), "left_semi")
     if isinstance(v, Validity) and how == "latest":
         still = F.lit(False)
         for x in v.open_end:
@@ -138,19 +139,21 @@ def join_step(catalog, left: DataFrame, r: Relationship, forward: bool, *, neede
 def as_of(left: DataFrame, right: DataFrame, keys, far: str, v: Snapshot, root_time: str) -> DataFrame:
     """Each root day takes the greatest partition not after it; a day before all partitions is an error.
 
-    Only distinct days meet distinct partitions; then rows join on equal keys.
+    Only distinct days and partitions are put in one order; then rows join on equal keys.
     """
     part = f"`{far}.{v.partition}`"
     day = F.col(part).cast("date") if not v.format else F.try_to_timestamp(F.col(part), F.lit(T.java_pattern(v.format))).cast("date")
-    partitions = right.select(F.col(part).alias("_p"), day.alias("_pd")).distinct()
+    partitions = right.select(day.alias("_day"), F.col(part).alias("_part"), F.lit(0).alias("_asked")).distinct()
     days = left.select(F.col(root_time).cast("date").alias("_day")).distinct()
-    mapped = days.join(F.broadcast(partitions), F.col("_pd") <= F.col("_day"), "left").groupBy("_day").agg(F.max_by("_p", "_pd").alias("_p"))
+    both = partitions.unionByName(days.withColumns({"_part": F.lit(None).cast(dict(partitions.dtypes)["_part"]), "_asked": F.lit(1)}))
+    upto = Window.orderBy("_day", "_asked").rowsBetween(Window.unboundedPreceding, 0)  # a row for each day and partition
+    mapped = both.where("_day is not null or _asked = 1").withColumn("_p", F.last("_part", True).over(upto)).where("_asked = 1").select("_day", "_p")
     checked = mapped.withColumn(
         "_p",
         F.when(F.col("_day").isNotNull() & F.col("_p").isNull(), F.raise_error(F.concat(F.lit("as-of-partition-missing: "), F.col("_day").cast("string"))))
         .otherwise(F.col("_p")),
     )
-    anchored = left.join(F.broadcast(checked), F.col(root_time).cast("date").eqNullSafe(F.col("_day")), "left")
+    anchored = left.join(checked, F.col(root_time).cast("date").eqNullSafe(F.col("_day")), "left")
     condition = F.col("_p") == F.col(part)
     for a, b in keys:
         condition = condition & (anchored[f"`{a}`"] == right[f"`{far}.{b}`"])
@@ -162,6 +165,7 @@ class Observation:
 
     def __init__(self, catalog: Catalog, root: str, *, scope=None, grain=None, dimensions=(), where=None, time=None, report_tz=None, fanout="block", versions="latest", cohort=None, period=None):
         self.catalog, self.root, self.scope, self.grain = catalog, root, scope, grain
+        self.joined = {root}
         self.dimensions = [catalog.field(d) for d in dimensions]
         df = catalog.frame(root)
         self.time = None
@@ -184,7 +188,7 @@ class Observation:
                 calendar, level = period
                 c = catalog.calendars[calendar]
                 days = c.source(catalog.spark).select(F.col(c.date).cast("date").alias("_cal_day"), F.col(c.levels[level]).alias("bucket_start"))
-                df = df.join(F.broadcast(days), F.col("_t").cast("date") == F.col("_cal_day")).drop("_cal_day")
+                df = df.join(days, F.col("_t").cast("date") == F.col("_cal_day")).drop("_cal_day")
             elif grain:
                 df = df.withColumn("bucket_start", T.bucket(F.col("_t"), grain))
         slices = [(catalog.field(k), v) for k, v in (where or {}).items()]
@@ -195,10 +199,16 @@ class Observation:
         self.df = self._reach(df, needed, slices, fanout, versions)
         if cohort is not None:
             on, members = cohort
-            self.df = self.df.join(members, self.df[f"`{on}`"].eqNullSafe(members[members.columns[0]]), "left_semi")
+            if on in self.df.columns:
+                mine = self.df[f"`{on}`"]
+            else:  # a field of an entity that each row has one of
+                f = catalog.field(on)
+                self.df = self._reach(self.df, [f], [], "block", versions)
+                mine = self._column(self.df, f)
+            self.df = self.df.join(members, mine.eqNullSafe(members[members.columns[0]]), "left_semi")
 
     def _reach(self, df, needed, slices, fanout, versions):
-        catalog, joined = self.catalog, {self.root}
+        catalog, joined = self.catalog, self.joined
         for f in needed:
             at = self.root
             for r, forward in path(catalog, self.root, f.entity):
@@ -361,6 +371,8 @@ def observe(catalog: Catalog, metrics, *, time_scope=None, grain=None, dimension
         grain = T.Grain(grain)
     for m in wanted:
         catalog.depth(m)
+        if catalog.occurrences(m) > 256:
+            raise PlanError("metric-too-wide", m.name)
     if not many and wanted[0].kind == "cumulative":
         return observe_cumulative(catalog, wanted[0], time_scope, grain, dimensions, slice_by, report_tz)
     groups: dict[tuple, dict[str, tuple[Metric, dict]]] = {}
@@ -369,7 +381,7 @@ def observe(catalog: Catalog, metrics, *, time_scope=None, grain=None, dimension
             semi = isinstance(leaf.additivity, SemiAdditive)
             alone = leaf.name if leaf.kind == "body" or semi else None
             groups.setdefault((leaf.entity, leaf.fanout, alone), {})[leaf_name(leaf, extra)] = (leaf, extra)
-    parts, axes = [], []
+    parts, axes, covered = [], [], None
     for (entity, fanout, _), members in groups.items():
         conditional = {k for leaf, extra in members.values() for k in {**dict(leaf.where), **extra}}
         reach = [k for k in conditional if catalog.field(k).entity != entity]
@@ -382,9 +394,11 @@ def observe(catalog: Catalog, metrics, *, time_scope=None, grain=None, dimension
         axes = ob.axis_names
         first = next(iter(members.values()))[0]
         if isinstance(first.additivity, SemiAdditive):
-            from .folds import fold
+            from .folds import coverage, expected_points, fold
 
             parts.append(fold(catalog, first, ob))
+            points = expected_points(catalog, first, grain)
+            covered = coverage(catalog, first, ob, points) if points and not many else None
             continue
         columns = []
         for leaf, extra in members.values():
@@ -407,5 +421,5 @@ def observe(catalog: Catalog, metrics, *, time_scope=None, grain=None, dimension
         out, "metric", tuple(a for a in axes if a != "bucket_start"), "bucket_start" if "bucket_start" in axes else None,
         tuple(names), grain, time_scope,
         "additive" if all(m.additivity == "additive" for m in wanted) else "non_additive",
-        components, where=dict(slice_by or {}), meta={"metrics": [m.name for m in wanted]},
+        components, covered, where=dict(slice_by or {}), meta={"metrics": [m.name for m in wanted]},
     )

@@ -269,3 +269,92 @@ def test_session_keeps_frames(sales, tmp_path):
     assert {r["region"]: r["contribution"] for r in s.attribute(d, axes=["region"]).df.collect()} == {"north": 10.0, "south": 30.0}
     s.delete()
     assert s.frames() == []
+
+
+def test_sketch_quantiles_agree_with_exact_ones(spark):
+    rng = __import__("random").Random(3)
+    rows = [(rng.choice("abc"), float(rng.randint(0, 60)), side) for side in (0, 1) for _ in range(90 + 20 * side)]
+    df = spark.createDataFrame(rows, "axis string, v double, side int")
+    now, then = df.where("side = 1"), df.where("side = 0")
+    exact = {r["axis"]: r["contribution"] for r in attribute.quantile(now, then, "axis", "v", 0.5).df.collect()}
+    sketch = {r["axis"]: r["contribution"] for r in attribute.quantile_by_sketch(now, then, "axis", "v", 0.5).df.collect()}
+    assert set(exact) == set(sketch) and all(abs(exact[k] - sketch[k]) <= 2.0 for k in exact)
+
+
+def test_quantile_refuses_an_empty_coalition(spark):
+    now = spark.createDataFrame([("a", 1.0)], "axis string, v double")
+    then = spark.createDataFrame([("b", 2.0)], "axis string, v double")
+    for how in (attribute.quantile, attribute.quantile_by_sketch):
+        with pytest.raises(PlanError, match="quantile-empty-coalition"):
+            how(now, then, "axis", "v", 0.5)
+
+
+def test_kendall_counts_ties_as_pairs_do():
+    from metrolith.functions.stats import kendall
+
+    rng = __import__("random").Random(1)
+    for n in (2, 3, 10, 60):
+        for _ in range(20):
+            x, y = ([rng.randint(0, 5) for _ in range(n)] for _ in range(2))
+            s = tx = ty = 0
+            for i in range(n):
+                for j in range(i):
+                    a, b = (x[i] > x[j]) - (x[i] < x[j]), (y[i] > y[j]) - (y[i] < y[j])
+                    s, tx, ty = s + a * b, tx + (a != 0), ty + (b != 0)
+            expected = s / (tx * ty) ** 0.5 if tx and ty else None
+            assert kendall(x, y) == (pytest.approx(expected) if expected is not None else None)
+
+
+def test_slices_beyond_the_cap_are_listed(spark, monkeypatch):
+    from metrolith.operators import discover
+    from metrolith.plans.frames import Frame
+
+    monkeypatch.setattr(discover, "MAX_GROUPS", 3)
+    df = spark.createDataFrame([(a, b, float(a == 0) * 9 + b) for a in range(3) for b in range(4)], "a int, b int, value double")
+    found = discover.interesting_slices(Frame(df, "metric", ("a", "b")), threshold=0.1, limit=None)
+    assert found.meta["skipped"] == [{"axes": ["b"], "groups": 4, "reason": "group_cap"}, {"axes": ["a", "b"], "groups": 12, "reason": "group_cap"}]
+    assert {r["selector"].split("=")[0] for r in found.df.collect()} == {"a"}
+    monkeypatch.setattr(discover, "MAX_GROUPS", 1)
+    assert discover.interesting_slices(Frame(df, "metric", ("a", "b"))).df.count() == 0
+
+
+def test_calendar_periods_and_their_errors(spark):
+    from metrolith.plans.model import CalendarAnchor
+
+    c = Catalog(spark)
+    days = spark.sql("select explode(sequence(date'2026-01-01', date'2026-01-20', interval 1 day)) d").selectExpr("d", "concat('p', floor((day(d) - 1) / 10)) p")
+    rows = spark.createDataFrame([(1, "2026-01-02", 5.0), (2, "2026-01-12", 7.0), (3, "2026-01-25", 1.0)], "id int, at string, x double").selectExpr("id", "cast(at as date) at", "x")
+    c.entity("rows", rows, primary_key=["id"])
+    c.time_dimension("at", "rows", default=True)
+    c.measure("x", "rows")
+    c.aggregate("total", "x", "sum")
+    c.period_calendar("tens", lambda s: days, date="d", levels={"ten": "p"})
+    c.cumulative("to_date", "total", anchor=CalendarAnchor("tens", "ten"))
+    assert c.period_on("tens", "ten", "2026-01-15")["period_key"] == "p1"
+    with pytest.raises(PlanError, match="period-missing"):
+        c.period_on("tens", "ten", "2026-02-15")
+    got = observe(c, "to_date", time_scope=T.time_scope(start="2026-01-10", end="2026-01-13"), grain="day").df.orderBy("bucket_start").collect()
+    assert [r["value"] for r in got] == [5.0, 0.0, 7.0]
+    with pytest.raises(PlanError, match="cumulative-grain"):
+        observe(c, "to_date", time_scope=T.time_scope(start="2026-01-10", end="2026-01-13"), grain="week")
+    with pytest.raises(Exception, match="calendar-day-missing"):
+        observe(c, "to_date", time_scope=T.time_scope(start="2026-01-18", end="2026-01-27"), grain="day").df.collect()
+
+
+def test_coverage_receipt_and_roles(spark):
+    from datetime import datetime
+
+    from metrolith.operators import events
+
+    c = Catalog(spark)
+    rows = [("e1", "u1", "s1", "2026-01-01 00:00:00"), ("e2", "u2", "s1", "2026-01-03 00:00:00")]
+    c.entity("log", spark.createDataFrame(rows, "id string, user string, seller string, at string").selectExpr("id", "user", "seller", "cast(at as timestamp_ntz) at"), primary_key=["id"])
+    for name, cond in (("buy", "true"), ("never", "false")):
+        c.event(name, "log", identity=["id"], occurred_at="at", subject=["user"], roles={"seller": ["seller"]}, where=lambda df, cond=cond: F.expr(cond))
+    assert events.covered_by(events.watermark(c, ["buy"])) == datetime(2026, 1, 3) and events.covered_by(events.watermark(c, ["buy", "never"])) is None
+    assert [r["subject"]["k0"] for r in events.occurrences(c, ["buy"], role="seller").collect()] == ["s1", "s1"]
+    with pytest.raises(PlanError, match="event-role-unknown"):
+        events.occurrences(c, ["buy"], role="courier")
+    c.event("broken", "log", identity=["id"], occurred_at="when", subject=["user"])
+    c.dimension("absent", "log")
+    assert c.verify() == ["field-column-missing: log.absent (absent)", "event-column-missing: broken (when)"]
