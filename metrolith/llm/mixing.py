@@ -40,6 +40,8 @@ MOST = 3
 GOLDEN = 0.6180339887498949
 #: Words of a block at most, and blocks that a source's target is cut into at least.
 BLOCK, LEAST = 1024, 400
+#: Rows of ids, hashes, sources and copies (some 120 bytes each) that are broadcast at most; beyond it they are joined by a shuffle.
+BROADCAST_KEYS = 1 << 18
 #: Rows of a bucket, and slots of a chunk, that one window sees.
 BUCKET_ROWS = 4096
 CHUNK = 1 << 16
@@ -194,7 +196,7 @@ def mix(docs: DataFrame, id_column="doc_id", text_column="text", source_column="
     h2, key = F.xxhash64(text_or_empty(text_column)), ["row_id", "h2", "source"]
     taken = materialize(_scheduled(docs, id_column, text_column, source_column).where("size > 0").select(*key, "copies"), "mix-taken")
     found = taken.groupBy(*key).agg(F.count("*").alias("rows"), F.max("copies").alias("copies")).where("copies > 0")
-    known = checked(found, "mix-copies")
+    known = checked(found, "mix-copies", BROADCAST_KEYS)
 
     def fresh(name: str) -> str:
         while name in docs.columns:
