@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from metrolith.functions import time as T
 from metrolith.functions.errors import PlanError
 from metrolith.plans.frames import Frame
+from metrolith.plans.model import Event, Participant, Validity
+from metrolith.plans.planner import safety
 
 
 @dataclass(frozen=True)
@@ -61,6 +63,8 @@ def occurrences(
             raise PlanError("event-role-unknown", f"{name}: {role}")
         subject = e.roles[role] if role is not None else e.subject
         df = catalog.frame(e.entity)
+        if isinstance(subject, Participant):
+            df, subject = _along(catalog, e, df, subject)
         if e.where is not None:
             df = df.where(e.where(df))
         ts = F.col(e.occurred_at).cast("timestamp_ntz")
@@ -82,6 +86,42 @@ def occurrences(
     return out
 
 
+def _along(catalog, e: Event, df: DataFrame, p: Participant) -> tuple[DataFrame, list[str]]:
+    """The event's rows with the participant's key, by left joins; a step that could multiply rows is refused."""
+    at, prefix = e.entity, ""
+    for i, name in enumerate(p.path):
+        r = catalog.relationships[name]
+        if r.left != at and r.right != at:
+            raise PlanError("event-path-broken", f"{e.name}: {name} does not start at {at}")
+        forward = r.left == at
+        if safety(catalog, r, forward) not in ("one_to_one", "many_to_one"):
+            raise PlanError("event-participant-cardinality", f"{e.name}: {name}")
+        far = r.right if forward else r.left
+        keys = [(a, b) if forward else (b, a) for a, b in r.keys]
+        right = catalog.frame(far)
+        right = right.select(*(F.col(c).alias(f"_p{i}_{c}") for c in right.columns))
+        on = reduce(lambda x, y: x & y, (df[f"{prefix}{a}"] == right[f"_p{i}_{b}"] for a, b in keys))
+        df, at, prefix = df.join(right, on, "left"), far, f"_p{i}_"
+    if at != p.entity:
+        raise PlanError("event-path-broken", f"{e.name}: the path ends at {at}, not {p.entity}")
+    return df, [f"{prefix}{c}" for c in catalog.entities[at].primary_key]
+
+
+def participants(catalog, event: str, roles: list[str]) -> DataFrame:
+    """(id, ts, role...) of every occurrence: the participant of each role, as a struct of keys; roles meet on equal id and time."""
+    if not roles or len(set(roles)) < len(roles):
+        raise PlanError("event-participant-cardinality", f"{event}: roles must be named, each once")
+    out = None
+    for role in roles:
+        one = occurrences(catalog, [event], role=role).select("id", "ts", F.col("subject").alias(role))
+        if out is None:
+            out = one
+            continue
+        right = one.select(F.col("id").alias("_id"), F.col("ts").alias("_ts"), role)
+        out = out.join(right, F.col("id").eqNullSafe(F.col("_id")) & F.col("ts").eqNullSafe(F.col("_ts"))).drop("_id", "_ts")
+    return out
+
+
 def occurrence_bounds(catalog, event: str) -> DataFrame:
     e = catalog.events[event]
     df = catalog.frame(e.entity)
@@ -243,3 +283,17 @@ def subject_axes_as_of(subjects: DataFrame, entry: str, snapshot: DataFrame, key
     p = snapshot.select(F.col(key).cast("string").alias("_key"), F.col(partition).cast("date").alias("_p"), *columns)
     joined = s.join(p, (F.col("_k") == F.col("_key")) & (F.col("_p") <= F.col("_at")), "left")
     return joined.groupBy("subject_identity").agg(*(F.max_by(c, "_p").alias(c) for c in columns))
+
+
+def subject_axes_valid(subjects: DataFrame, entry: str, versions: DataFrame, key: str, v: Validity, columns: list[str]) -> DataFrame:
+    """Each subject's attributes from the version that holds at its entry; several that hold are an error, none gives nulls."""
+    s = subjects.select("subject_identity", F.col("subject_identity")["k0"].alias("_k"), F.col(entry).alias("_at"))
+    p = versions.select(F.col(key).cast("string").alias("_key"), F.col(v.valid_from).alias("_low"), F.col(v.valid_to).alias("_high"), *columns)
+    open_ = F.col("_high").isNull()
+    for x in v.open_end:
+        open_ = open_ if x is None else open_ | (F.col("_high") == F.lit(x))
+    upper = F.col("_at") < F.col("_high") if v.interval == "closed_open" else F.col("_at") <= F.col("_high")
+    joined = s.join(p, (F.col("_k") == F.col("_key")) & (F.col("_low") <= F.col("_at")) & (open_ | upper), "left")
+    found = joined.groupBy("subject_identity").agg(F.count("_key").alias("_n"), *(F.first(c).alias(c) for c in columns))
+    one = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("versions-overlap: "), F.to_json("subject_identity")))).otherwise(F.lit(True)).cast("boolean")
+    return found.where(one).select("subject_identity", *columns)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from metrolith.functions import time as T
 from metrolith.functions.errors import PlanError
+from metrolith.functions.ranks import by_value, running
 from metrolith.plans.frames import Frame
 from metrolith.plans.planner import predicate
 
@@ -88,20 +89,18 @@ class Transforms:
         return self.f.having(self.f.df.orderBy(F.col(self._known(by)).asc_nulls_last(), *self._tail()).limit(limit))
 
     def rank(self, *, by: str, method: str = "ordinal", rank_column: str = "rank") -> Frame:
-        """Descending rank; ordinal breaks ties on the axes; null and non-finite values are refused."""
+        """Descending rank, of doubles; ordinal breaks ties on the axes; null and non-finite values are refused."""
+        if method not in ("ordinal", "dense", "min", "max"):
+            raise PlanError("rank-method", method)
         x = F.col(self._known(by))
         safe = F.when(finite(x.cast("double")), x).otherwise(F.raise_error(F.lit("rank-of-null")))
         df = self.f.df.withColumn(by, safe.cast(dict(self.f.df.dtypes)[by]))
-        w = Window.orderBy(F.col(by).desc())
-        how = {
-            "ordinal": lambda: F.row_number().over(Window.orderBy(F.col(by).desc(), *self._tail())),
-            "dense": lambda: F.dense_rank().over(w),
-            "min": lambda: F.rank().over(w),
-            "max": lambda: F.count("*").over(w.rangeBetween(Window.unboundedPreceding, 0)),
-        }
-        if method not in how:
-            raise PlanError("rank-method", method)
-        return self.f.having(df.withColumn(rank_column, how[method]().cast("bigint")))
+        if method == "ordinal":
+            out = running(df, by, F.lit(1), rank_column, descending=True, ties=self._tail())
+            return self.f.having(out.withColumn(rank_column, (F.col(rank_column) + 1).cast("bigint")))
+        found = {"dense": F.col("_place") + 1, "min": F.col("_less") + 1, "max": F.col("_less") + F.col("_n")}[method]
+        values = by_value(df, by, descending=True).select(F.col("_v"), found.cast("bigint").alias(rank_column))
+        return self.f.having(df.join(values, F.col(by) == F.col("_v"), "left").drop("_v"))
 
     def normalize(self, *, mode: str, baseline=None) -> Frame:
         """index (to the series' first or a bucket), share, pct_change, per_unit, z_score."""

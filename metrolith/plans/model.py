@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from metrolith.functions import periods
 from metrolith.functions.errors import PlanError
 from metrolith.functions.time import Grain, Parse
 
@@ -105,6 +106,14 @@ class Metric:
     sql: str | None = None
 
 
+@dataclass(frozen=True)
+class Participant:
+    """An entity that an event's own entity reaches along relationships, each to one row at most; known by its primary key."""
+
+    entity: str
+    path: tuple[str, ...]
+
+
 @dataclass(frozen=True)
 class Event:
     name: str
@@ -113,7 +122,7 @@ class Event:
     occurred_at: str
     subject: tuple[str, ...]
     where: Callable[[DataFrame], Column] | None = None
-    roles: Mapping[str, tuple[str, ...]] = field(default_factory=dict)  # other participants: name -> key columns
+    roles: Mapping[str, tuple[str, ...] | Participant] = field(default_factory=dict)  # other participants: name -> key columns, or a path
 
 
 @dataclass(frozen=True)
@@ -137,7 +146,7 @@ class PeriodCalendar:
     source: Callable[[SparkSession], DataFrame]
     date: str
     levels: Mapping[str, str]
-    correspondences: Mapping[str, str] = field(default_factory=dict)
+    correspondences: Mapping[str, tuple[str, str]] = field(default_factory=dict)  # name -> (level, column of the baseline key)
 
 
 @dataclass(frozen=True)
@@ -293,7 +302,11 @@ class Catalog:
 
     def event(self, name, entity, *, identity, occurred_at, subject, where=None, roles=None) -> str:
         self._entity(entity)
-        named = {k: tuple(v) for k, v in (roles or {}).items()}
+        named = {k: v if isinstance(v, Participant) else tuple(v) for k, v in (roles or {}).items()}
+        for p in named.values():
+            for r in p.path if isinstance(p, Participant) else ():
+                if r not in self.relationships:
+                    raise PlanError("relationship-unknown", r)
         return self._add(self.events, name, Event(name, entity, tuple(identity), occurred_at, tuple(subject), where, named))
 
     def state_model(self, name, subject, *, states, initial, inceptions, transitions, terminal=()) -> str:
@@ -357,7 +370,7 @@ class Catalog:
             if isinstance(f.body, str) and f.body not in self.frame(f.entity).columns:
                 problems.append(f"field-column-missing: {f.id} ({f.body})")
         for e in self.events.values():
-            for column in dict.fromkeys([*e.identity, e.occurred_at, *e.subject, *(x for r in e.roles.values() for x in r)]):
+            for column in dict.fromkeys([*e.identity, e.occurred_at, *e.subject, *(x for r in e.roles.values() if not isinstance(r, Participant) for x in r)]):
                 if column not in self.frame(e.entity).columns:
                     problems.append(f"event-column-missing: {e.name} ({column})")
         for c in self.calendars.values():
@@ -404,6 +417,51 @@ class Catalog:
             raise PlanError("period-missing", f"{calendar}.{level} on {day}")
         return found
 
+    def period_before(self, calendar: str, level: str, day: str):
+        """The row of ``periods`` of the latest period that ends by the beginning of a day."""
+        found = self.periods(calendar, level).where(F.col("period_end") <= F.lit(day).cast("date")).orderBy(F.desc("period_start")).first()
+        if found is None:
+            raise PlanError("period-missing", f"{calendar}.{level} before {day}")
+        return found
+
+    def period_positions(self, calendar: str, level: str, within: str) -> DataFrame:
+        """(period_key, within_key, ordinal_within): each period's one containing period and its place there, from 0.
+
+        A period that lies in several periods of the other level has null for both.
+        """
+        inner = self.periods(calendar, level).select("period_key", "period_start")
+        a, b = self.calendar_days(calendar, level), self.calendar_days(calendar, within).select(F.col("_cal_day").alias("_d"), F.col("period_key").alias("_w"))
+        held = a.join(b, F.col("_cal_day") == F.col("_d"), "left").groupBy("period_key").agg(
+            F.count_distinct("_w").alias("_n"), F.count_if(F.col("_w").isNull()).alias("_out"), F.min("_w").alias("_w")
+        )
+        one = F.when((F.col("_n") == 1) & (F.col("_out") == 0), F.col("_w"))
+        placed = inner.join(held.select("period_key", one.alias("within_key")), "period_key")
+        place = F.row_number().over(Window.partitionBy("within_key").orderBy("period_start")) - 1  # periods, not days
+        return placed.select("period_key", "within_key", F.when(F.col("within_key").isNotNull(), place).cast("bigint").alias("ordinal_within"))
+
+    def period_progress(self, calendar: str, level: str, moments: DataFrame, column: str) -> DataFrame:
+        """The rows with period_key, day_ordinal and microseconds_of_day of a civil moment; a moment outside the calendar has nulls."""
+        first = self.calendar_days(calendar, level).groupBy("period_key").agg(F.min("_cal_day").alias("_first"))
+        days = self.calendar_days(calendar, level).join(first, "period_key")
+        t = F.col(column).cast("timestamp_ntz")
+        joined = moments.join(days, t.cast("date") == F.col("_cal_day"), "left")
+        micros = periods.progress(t, "day")["microseconds_of_day"]
+        return joined.select(
+            *(moments[c] for c in moments.columns), "period_key", F.datediff(t.cast("date"), F.col("_first")).alias("day_ordinal"),
+            F.when(F.col("period_key").isNotNull(), micros).alias("microseconds_of_day"),
+        )
+
+    def correspondence(self, calendar: str, name: str) -> DataFrame:
+        """(period_key, baseline_key): a calendar's named correspondence, from its table's columns of the current and baseline key."""
+        c = self.calendars[calendar]
+        if name not in c.correspondences:
+            raise PlanError("correspondence-unknown", f"{calendar}.{name}")
+        level, baseline = c.correspondences[name]
+        found = c.source(self.spark).select(F.col(c.levels[level]).alias("period_key"), F.col(baseline).alias("baseline_key")).distinct()
+        twice = F.count("*").over(Window.partitionBy("period_key")) > 1
+        bad = F.raise_error(F.concat(F.lit("correspondence-not-unique: "), F.col("period_key").cast("string"))).cast(dict(found.dtypes)["baseline_key"])
+        return found.select("period_key", F.when(twice, bad).otherwise(F.col("baseline_key")).alias("baseline_key"))
+
     def certify(self, calendar: str, level: str) -> dict[str, int]:
         """Repeated dates, dates missing between the first and last, and periods that are not contiguous."""
         c = self.calendars[calendar]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from metrolith.functions import periods
 from metrolith.functions import time as T
 from metrolith.operators import attribute, compare, events, lifecycle, quality, stats
 from metrolith.plans.catalog_queries import (  # noqa: F401
@@ -27,7 +28,7 @@ from metrolith.plans.catalog_queries import (  # noqa: F401
     _two,
     query,
 )
-from metrolith.plans.model import CalendarAnchor, SemiAdditive, Validity
+from metrolith.plans.model import CalendarAnchor, Participant, SemiAdditive, Validity
 from metrolith.plans.planner import observe
 from metrolith.plans.session import Session
 from metrolith.sources import inspect, readers
@@ -488,3 +489,89 @@ def quality_lifecycle(c):
     h = _replay(c)
     moved = h.df.withColumn("entered_by_event_ref", F.lit("unknown"))
     return quality.assess_quality(h.having(moved)).df.where("check_id in ('lifecycle_history_trace', 'lifecycle_censoring')").select("check_id", "severity", "details")
+
+
+# --- period resolvers, participants, populations ---------------------------------------------------------
+
+
+@query("""with x as (select cast(o_orderdate as date) d from orders where d < '1994-01-01')
+select strftime(d, '%G-W%V') as week, strftime(d, '%Y-%m') as month, year(d) || '-Q' || quarter(d) as quarter, date_diff('day', date_trunc('quarter', d), d) as day_in_quarter, month(d) - 1 as month_in_year,
+case when month(date_trunc('week', d)) = month(date_trunc('week', d) + interval 6 days) then strftime(date_trunc('week', d), '%Y-%m') end as whole_month, count(*) as n from x group by all""")
+def calendar_gregorian_periods(c):
+    d = F.col("o_orderdate").cast("date")
+    found = {
+        "week": periods.key(d, "week"), "month": periods.key(d, "month"), "quarter": periods.key(d, "quarter"),
+        "day_in_quarter": periods.ordinal_within(d, "day", "quarter").cast("bigint"), "month_in_year": periods.ordinal_within(d, "month", "year").cast("bigint"),
+        "whole_month": periods.containing(d, "week", "month"),
+    }
+    return c.frame("orders").where("o_orderdate < '1994-01-01'").groupBy(*(v.alias(k) for k, v in found.items())).agg(F.count("*").alias("n"))
+
+
+def _nested_calendar(c):
+    days = c.spark.sql("select explode(sequence(date'1995-01-02', date'1998-12-31', interval 1 day)) d").withColumn("n", F.datediff("d", F.lit("1995-01-02").cast("date")))
+    numbered = days.select("d", F.floor(F.col("n") / 28).alias("p"), F.floor(F.col("n") / 364).alias("y"), F.floor(F.col("n") / 100).alias("h"), (F.floor(F.col("n") / 28) - 13).alias("was"))
+    c.period_calendar("nested", lambda s: numbered, date="d", levels={"period": "p", "year": "y", "hundred": "h"}, correspondences={"last_year": ("period", "was")})
+
+
+NESTED_SQL = "cal as (select d, n // 28 p, n // 364 y, n // 100 h from (select cast(d as date) d, date_diff('day', date '1995-01-02', d) n from generate_series(date '1995-01-02', date '1998-12-31', interval '1 day') g(d)))"
+
+
+@query(f"""with {NESTED_SQL}, x as (select p, min(d) a, case when count(distinct y) = 1 then min(y) end w, case when count(distinct h) = 1 then min(h) end v from cal group by p)
+select p as period_key, w as year_key, case when w is not null then row_number() over (partition by w order by a) - 1 end as place, v as hundred_key from x""")
+def calendar_period_positions(c):
+    _nested_calendar(c)
+    year = c.period_positions("nested", "period", "year").select("period_key", F.col("within_key").alias("year_key"), F.col("ordinal_within").alias("place"))
+    return year.join(c.period_positions("nested", "period", "hundred").select("period_key", F.col("within_key").alias("hundred_key")), "period_key")
+
+
+@query(f"with {NESTED_SQL}, x as (select p, min(d) a from cal group by p) select cal.p as period_key, date_diff('day', a, cal.d) as day_ordinal, count(*) as n from orders left join cal on cast(o_orderdate as date) = cal.d left join x on x.p = cal.p group by all")
+def calendar_period_progress(c):
+    _nested_calendar(c)
+    found = c.period_progress("nested", "period", c.frame("orders").select("o_orderdate"), "o_orderdate")
+    return found.groupBy("period_key", F.col("day_ordinal").cast("bigint").alias("day_ordinal")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {NESTED_SQL} select distinct p as period_key, p - 13 as baseline_key from cal")
+def calendar_correspondence(c):
+    _nested_calendar(c)
+    return c.correspondence("nested", "last_year")
+
+
+@query("select l_suppkey % 10 as supplier_digit, c_nationkey as nation, count(*) as n from lineitem left join orders on l_orderkey = o_orderkey left join customer on o_custkey = c_custkey group by all")
+def events_participants_along_paths(c):
+    """Who supplied and, along items, orders and customers, who bought: two roles of each occurrence."""
+    roles = {"supplier": ["l_suppkey"], "buyer": Participant("customer", ("item_order", "order_customer"))}
+    c.event("delivered", "lineitem", identity=["l_orderkey", "l_linenumber"], occurred_at="l_shipdate", subject=["l_orderkey"], roles=roles)
+    found = events.participants(c, "delivered", ["supplier", "buyer"])
+    buyers = c.frame("customer").select(F.col("c_custkey").cast("string").alias("_k"), F.col("c_nationkey").alias("nation"))
+    named = found.join(buyers, F.col("buyer.k0") == F.col("_k"), "left")
+    return named.groupBy((F.col("supplier.k0").cast("bigint") % 10).alias("supplier_digit"), "nation").agg(F.count("*").alias("n"))
+
+
+@query(f"{HISTORY_SQL} select s as model_state, count(*) as n from h where u % 2 = 0 group by all")
+def lifecycle_replay_population(c):
+    """The even subjects that have an inception, as a stated population."""
+    known = c.frame("events").where("event_type = 'signup' and user_id % 2 = 0 and ts < '2024-02-01'").select("user_id").distinct()
+    members = known.select(F.struct(F.col("user_id").cast("string").alias("k0")).alias("subject_identity"))
+    h = lifecycle.replay(c, "visitor", window=T.time_scope(start="2024-01-01", end="2024-02-01"), population=members)
+    return h.df.groupBy("model_state").agg(F.count("*").alias("n"))
+
+
+@query("""with s as (select user_id u, min(ts) t from events where event_type = 'signup' group by all)
+select cast(u as varchar) as subject, case when t < timestamp '2024-01-10' then 'old' else 'new' end as level from s""")
+def subject_axes_by_validity(c):
+    base = c.frame("events").select("user_id").distinct()
+    at = F.lit("2024-01-10").cast("timestamp_ntz")
+    old = base.select("user_id", F.lit("1990-01-01").cast("timestamp_ntz").alias("valid_from"), at.alias("valid_to"), F.lit("old").alias("level"))
+    new = base.select("user_id", at.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), F.lit("new").alias("level"))
+    entries = c.frame("events").where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("entry"))
+    subjects = entries.select(F.struct(F.col("user_id").cast("string").alias("k0")).alias("subject_identity"), "entry")
+    found = events.subject_axes_valid(subjects, "entry", old.union(new), "user_id", Validity("valid_from", "valid_to"), ["level"])
+    return found.select(F.col("subject_identity.k0").alias("subject"), "level")
+
+
+@query("with x as (select o_custkey, sum(o_totalprice) a, count(*) n from orders group by all), r as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 ra, rank() over (order by n) + (count(*) over (partition by n) - 1) / 2.0 rn from x) select round(corr(ra, rn), 6) as correlation from r")
+def correlate_spearman_many_groups(c):
+    """Ranks over many aggregated rows, many of them tied."""
+    both = [observe(c, m, dimensions=["orders.o_custkey"]) for m in ("revenue", "order_count")]
+    return stats.correlate(*both, method="spearman").df.select(F.round("correlation", 6).alias("correlation"))

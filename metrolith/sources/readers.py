@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -163,6 +164,40 @@ def jdbc(url: str, name: str, *, properties: Mapping[str, str] | None = None, pa
     return read
 
 
+# Kinds of datasources, their JDBC subprotocols and usual ports (None: a file, not a server).
+KINDS = {
+    "duckdb": ("duckdb", None), "sqlite": ("sqlite", None), "trino": ("trino", 8080), "mysql": ("mysql", 3306),
+    "postgres": ("postgresql", 5432), "clickhouse": ("clickhouse", 8123),
+}
+
+
+def spec(kind: str, *, host: str | None = None, port: int | None = None, database: str | None = None, path: str | None = None, user: str | None = None, password_env: str | None = None, **options) -> dict:
+    """What ``Registry.register`` keeps of a datasource: kind, JDBC address, options; the password's variable, not the password."""
+    if kind not in KINDS:
+        raise PlanError("datasource-kind-unknown", kind)
+    protocol, usual = KINDS[kind]
+    if usual is None:
+        if host is not None or path is None:
+            raise PlanError("datasource-spec", f"{kind} is a file: path is needed, host is not")
+        url = f"jdbc:{protocol}:{path}"
+    else:
+        if path is not None or not host:
+            raise PlanError("datasource-spec", f"{kind} is a server: host is needed, path is not")
+        url = f"jdbc:{protocol}://{host}:{port or usual}" + (f"/{database}" if database else "")
+    more = {"user": user, "password_env": password_env, **{k: str(v) for k, v in options.items()}}
+    return {"kind": kind, "url": url, **{k: v for k, v in more.items() if v is not None}}
+
+
+def engine_profile(spark: SparkSession) -> dict:
+    """What plans may count on; one engine runs them all, so nothing is rewritten by dialect."""
+    conf = spark.conf
+    return {
+        "engine": "spark", "version": spark.version, "quote": "`", "strptime": "java", "timezone": conf.get("spark.sql.session.timeZone"),
+        "quantile": ("exact", "sketch"), "read_only": True, "timeout": "job_group", "ansi": conf.get("spark.sql.ansi.enabled") == "true",
+        "adaptive": conf.get("spark.sql.adaptive.enabled") == "true",
+    }
+
+
 @dataclass
 class Registry:
     """Named datasources of a project: kind and options; secrets are named, not kept."""
@@ -186,11 +221,23 @@ class Registry:
             raise PlanError("datasource-unknown", name)
         return {k: ("***" if "password" in k or "secret" in k else v) for k, v in self.specs[name].items()}
 
+    def connect(self, name: str, relation: str, **how):
+        """A reader of one table of a datasource; the password is taken from its variable when the reader is made."""
+        s = dict(self.specs.get(name) or self.describe(name))
+        if "url" not in s:
+            raise PlanError("datasource-not-jdbc", name)
+        known = {k: v for k, v in s.items() if k not in ("kind", "url", "password_env")}
+        if "password_env" in s:
+            if s["password_env"] not in os.environ:
+                raise PlanError("datasource-password-missing", s["password_env"])
+            known["password"] = os.environ[s["password_env"]]
+        return jdbc(s["url"], relation, properties=known, **how)
+
     def test(self, spark: SparkSession, name: str) -> bool:
         """Whether a trivial read works."""
-        s = self.specs[name]
+        self.describe(name)
         try:
-            (jdbc(s["url"], "(select 1 as x) t")(spark) if "url" in s else spark.sql("select 1")).first()
+            (self.connect(name, "(select 1 as x) t")(spark) if "url" in self.specs[name] else spark.sql("select 1")).first()
             return True
         except Exception:  # the test's answer is the failure itself
             return False

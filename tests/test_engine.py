@@ -358,3 +358,139 @@ def test_coverage_receipt_and_roles(spark):
     c.event("broken", "log", identity=["id"], occurred_at="when", subject=["user"])
     c.dimension("absent", "log")
     assert c.verify() == ["field-column-missing: log.absent (absent)", "event-column-missing: broken (when)"]
+
+
+def _tied(spark, rows):
+    c = Catalog(spark)
+    c.entity("log", spark.createDataFrame(rows, "id int, who string, kind string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz")), primary_key=["id"])
+    for e in ("born", "a", "b", "d"):
+        c.event(e, "log", identity=["id"], occurred_at="ts", subject=["who"], where=lambda df, e=e: df["kind"] == e)
+    c.state_model("m", "who", states=["s", "x", "y", "end"], initial="s", inceptions=["born"], terminal=["end"], transitions=[("s", "a", "x"), ("x", "b", "y"), ("s", "d", "s"), ("y", "d", "end")])
+    return c
+
+
+WEEK = T.time_scope(start="2026-07-01", end="2026-07-08")
+
+
+def test_ties_that_only_a_third_order_shows(spark):
+    """a, b, d at one instant in state s: by name (a, b, d) and backwards (d, b, a) differ already; b, d alone do not."""
+    born = (1, "u", "born", "2026-07-01 00:00:00")
+    c = _tied(spark, [born, (2, "u", "d", "2026-07-02"), (3, "u", "a", "2026-07-02"), (4, "u", "b", "2026-07-02")])
+    with pytest.raises(Exception, match="ambiguous-event-order"):
+        lifecycle.replay(c, "m", window=WEEK).df.collect()
+    calm = _tied(spark, [born, (2, "u", "d", "2026-07-02"), (3, "u", "b", "2026-07-02"), (4, "u", "a", "2026-07-03")])
+    assert {r["model_state"] for r in lifecycle.replay(calm, "m", window=WEEK).df.collect()} == {"s", "x"}
+
+
+def test_settled_agrees_with_all_orders():
+    """The search over prefixes against every permutation, for every start and multiset of up to four events."""
+    from itertools import combinations_with_replacement, permutations
+
+    from metrolith.plans.model import StateModel
+
+    models = [
+        StateModel("m", "u", ("s", "x", "y"), "s", ("y",), ("n",), (("s", "a", "x"), ("x", "a", "s"), ("x", "b", "y"), ("s", "b", "y"))),
+        StateModel("m", "u", ("s", "x"), "s", (), ("n",), (("s", "a", "x"), ("x", "b", "x"), ("s", "b", "s"), ("x", "a", "x"))),
+    ]
+    for m in models:
+        judge = lifecycle._judge(m)
+        for state in (None, *m.states):
+            for size in (1, 2, 3, 4):
+                for events_ in combinations_with_replacement(["a", "b", "n"], size):
+                    seen = set()
+                    for order in set(permutations(events_)):
+                        at, nth, kinds = state, {}, set()
+                        for e in order:
+                            at, kind = judge(at, e)
+                            kinds.add((e, nth.get(e, 0), kind))
+                            nth[e] = nth.get(e, 0) + 1
+                        seen.add((at, frozenset(kinds)))
+                    end, agreed = lifecycle._settled(judge, state, list(events_))
+                    assert agreed == (len(seen) == 1), (m, state, events_)
+                    assert not agreed or {end} == {x for x, _ in seen}
+
+
+def test_inception_in_a_life_and_missing_inception(spark):
+    c = _tied(spark, [(1, "u", "born", "2026-07-01"), (2, "u", "born", "2026-07-02"), (3, "v", "a", "2026-07-03")])
+    h = lifecycle.replay(c, "m", window=WEEK)
+    assert sorted(r["violation_kind"] for r in lifecycle.violations(h).collect()) == ["ignored_pre_inception", "illegal_transition"]
+    who = lambda *names: spark.createDataFrame([((n,),) for n in names], "subject_identity struct<k0:string>")
+    assert lifecycle.replay(c, "m", window=WEEK, population=who("u")).df.count() == 1
+    for lost in ("v", "w"):  # events but no inception; no events
+        with pytest.raises(Exception, match="missing-inception"):
+            lifecycle.replay(c, "m", window=WEEK, population=who("u", lost)).df.collect()
+    assert lifecycle.replay(c, "m", window=WEEK, covered_through="2026-07-05", population=who("u", "w")).df.count() == 1
+
+
+def test_running_counts(spark):
+    from metrolith.functions.ranks import by_value, running
+
+    values = [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, 3.0, 3.0, 3.1, -2.5, None, 1e-9, 1024.0, 1023.999]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x double")
+    got = {r["i"]: r["n"] for r in running(df, "x", F.lit(1), "n", ties=[F.col("i")]).collect()}
+    order = sorted(range(len(values)), key=lambda i: (values[i] is None, values[i] or 0.0, i))
+    assert got == {i: n for n, i in enumerate(order)}
+    places = {r["_v"]: (r["_less"], r["_place"]) for r in by_value(df.where("x >= 3"), "x", descending=True).collect()}
+    assert places == {1.7e308: (0, 0), 1024.0: (1, 1), 1023.999: (2, 2), 3.1: (3, 3), 3.0: (4, 4)}
+    assert running(df.where("false"), "x", F.lit(1), "n").count() == 0
+
+
+def test_sessions_are_resumed(sales, tmp_path):
+    spark, root = sales.spark, str(tmp_path / "kept")
+    s = Session.create(sales, root, "july", "why?")
+    ref = s.save(s.observe("revenue", dimensions=["region"]))
+    with pytest.raises(PlanError, match="session-exists"):
+        Session.create(sales, root, "july")
+    again = Session.resume(sales, root, "july", "why?")
+    assert again.id == s.id and [j["operator"] for j in again.jobs] == ["observe", "save"] and again.get_frame(ref).df.count() == 2
+    with pytest.raises(PlanError, match="question-mismatch"):
+        Session.resume(sales, root, "july", "how?")
+    Session.create(sales, root, "august")
+    assert [x["name"] for x in Session.recent(spark, root)] == ["august", "july"] and len(Session.recent(spark, root, limit=1)) == 1
+    assert Session.inspect(spark, root, "july")["frames"] == [ref]
+    with pytest.raises(PlanError, match="session-unknown"):
+        Session.inspect(spark, root, "june")
+    d = again.digest(ref, most=1)
+    assert d["rows"] == 2 and len(d["items"]) == 1 and {"kind": "rows_left_out", "rows": 1} in d["boundaries"] and again.digest(ref, most=1) == d
+    first = again.findings()[0]
+    found = again.trace(first["finding_id"])
+    assert found["source"] == ref and [j["operator"] for j in found["jobs"]] == ["save"]
+    with pytest.raises(PlanError, match="finding-unknown"):
+        again.trace("finding-0")
+
+
+def test_specs_profiles_and_limits(spark, monkeypatch):
+    s = readers.spec("postgres", host="db", database="shop", user="me", password_env="SHOP_PASSWORD")
+    assert s["url"] == "jdbc:postgresql://db:5432/shop" and readers.spec("duckdb", path="/x.db")["url"] == "jdbc:duckdb:/x.db"
+    for bad in ({"kind": "oracle"}, {"kind": "mysql"}, {"kind": "sqlite", "host": "h"}):
+        with pytest.raises(PlanError, match="datasource-"):
+            readers.spec(**bad)
+    reg = readers.Registry()
+    reg.register("shop", **s)
+    monkeypatch.delenv("SHOP_PASSWORD", raising=False)
+    with pytest.raises(PlanError, match="datasource-password-missing"):
+        reg.connect("shop", "orders")
+    monkeypatch.setenv("SHOP_PASSWORD", "x")
+    assert callable(reg.connect("shop", "orders")) and readers.engine_profile(spark)["read_only"]
+    with pytest.raises(PlanError, match="scope-conflict"):
+        inspect.sample(spark.range(3).toDF("p"), max_rows=2, unpruned=True, partition={"p": 1})
+    assert inspect.sample(spark.range(3).toDF("p"), max_rows=5, unpruned=True, timeout=60)[1]
+    slow = spark.range(5 * 10**9).where("hash(id) = 1 and hash(id + 1) = 2")
+    with pytest.raises(Exception):
+        inspect.sample(slow, max_rows=5, timeout=0.5)
+
+
+def test_gregorian_keys(spark):
+    from metrolith.functions import periods
+
+    days = spark.sql("select explode(sequence(date'2019-12-01', date'2021-02-01', interval 1 day)) d")
+    for level in periods.LEVELS:
+        back = periods.first_day(periods.key(F.col("d"), level), level)
+        assert days.where(~back.eqNullSafe(periods.start(F.col("d"), level))).count() == 0
+        gap = periods.end(periods.before(F.col("d"), level), level)
+        assert days.where(~gap.eqNullSafe(periods.start(F.col("d"), level))).count() == 0
+    row = spark.sql("select '2021-W53' a, '2020-13' b, timestamp_ntz'2021-02-03 01:02:03.000004' t").select(
+        periods.first_day(F.col("a"), "week").alias("a"), periods.first_day(F.col("b"), "month").alias("b"), periods.progress(F.col("t"), "week").alias("t")
+    ).first()
+    assert row["a"] is None and row["b"] is None and tuple(row["t"]) == (2, 3_723_000_004)
+    assert periods.rolls_up_to("month", "year") and not periods.rolls_up_to("week", "year")
