@@ -1,7 +1,7 @@
 """License scan by ordered signature rules, with built-in functions only.
 
-Several hundred regexes come from the tables below: each licence's names are
-put into sentence templates.  A rule has two keywords that must occur in the
+Several hundred regexes come from the tables below: signatures of notices, each
+written by hand, and each licence's names put into sentence templates.  A rule has two keywords that must occur in the
 lower-cased text before its regex runs, and documents without any first keyword
 stop there.  Overlapping detections are resolved by suppression: one whose
 interval lies inside another's goes when the other has the higher priority, or
@@ -98,18 +98,62 @@ TEMPLATES = (
     (50, "licen", r"\b(?:the\s+)?{}(?:\s+(?:style|software|open\s+source|public))?\s+licen[sc]e\b(?:,?\s+version\s+[0-9.]+)?"),
     (40, "licen", r"\blicen[sc]e\s*[:=]\s*[\"']?{}\b"),
 )
-#: Signatures of whole notices: (label, priority, first keyword, second keyword, regex).
+#: Signatures of whole notices: (label, priority, first keyword, second keyword, regex); a keyword is one word, as lines break anywhere.
 NOTICES = (
-    ("MIT", 80, "permission is hereby granted", "without restriction", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+obtaining\s+a\s+copy"),
-    ("ISC", 80, "permission to use", "with or without fee", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose\s+with\s+or\s+without\s+fee"),
-    ("BSD", 70, "redistribution", "source and binary", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms,\s+with\s+or\s+without\s+modification"),
-    ("GPL", 70, "free software foundation", "general public licen", r"under\s+the\s+terms\s+of\s+the\s+gnu\s+(?:lesser\s+|affero\s+)?general\s+public\s+licen[sc]e"),
-    ("GPL", 30, "licen", "general public licen", r"\b(?:gnu\s+)?general\s+public\s+licen[sc]e\b"),
-    ("Apache", 30, "licen", "apache licen", r"\bapache\s+licen[sc]e\b"),
-    ("Public-Domain", 40, "public domain", "public domain", r"\b(?:in(?:to)?|to)\s+the\s+public\s+domain\b"),
-    ("All-Rights-Reserved", 20, "all rights reserved", "all rights reserved", r"\ball\s+rights\s+reserved\b"),
+    ("MIT", 80, "hereby", "granted", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+obtaining\s+a\s+copy"),
+    ("ISC", 80, "permission", "distribute", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose\s+with\s+or\s+without\s+fee"),
+    ("BSD", 70, "redistribution", "binary", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms,\s+with\s+or\s+without\s+modification"),
+    ("GPL", 70, "licen", "general", r"under\s+the\s+terms\s+of\s+the\s+gnu\s+(?:lesser\s+|affero\s+)?general\s+public\s+licen[sc]e"),
+    ("GPL", 30, "licen", "general", r"\b(?:gnu\s+)?general\s+public\s+licen[sc]e\b"),
+    ("Apache", 30, "licen", "apache", r"\bapache\s+licen[sc]e\b"),
+    ("Public-Domain", 40, "domain", "public", r"\b(?:in(?:to)?|to)\s+the\s+public\s+domain\b"),
+    ("All-Rights-Reserved", 20, "reserved", "rights", r"\ball\s+rights\s+reserved\b"),
     ("Copyright", 10, "copyright", "copyright", r"\bcopyright\s+(?:\(c\)\s+|©\s*)?[12][0-9]{3}\b"),
-    ("Warranty-Disclaimer", 20, "warrant", "as is", r"\bprovided\s+[\"']?as\s+is[\"']?,?\s+without\s+warranty\b"),
+    ("Warranty-Disclaimer", 20, "warrant", "provided", r"\bprovided\s+[\"']?as\s+is[\"']?,?\s+without\s+warranty\b"),
+    ("Apache-2.0", 85, "licen", "compliance", r"you\s+may\s+not\s+use\s+this\s+file\s+except\s+in\s+compliance\s+with\s+the\s+licen[sc]e"),
+    ("Apache-2.0", 60, "licen", "implied", r"without\s+warranties\s+or\s+conditions\s+of\s+any\s+kind,\s+either\s+express\s+or\s+implied"),
+    ("Apache-1.1", 75, "apache", "foundation", r"this\s+product\s+includes\s+software\s+developed\s+by\s+the\s+apache\s+software\s+foundation"),
+    ("MIT", 60, "licen", "substantial", r"shall\s+be\s+included\s+in\s+all\s+copies\s+or\s+substantial\s+portions\s+of\s+the\s+software"),
+    ("MIT-0", 75, "licen", "attribution", r"\bmit\s+no\s+attribution\b"),
+    ("BSD-3-Clause", 75, "endorse", "promote", r"\bnames?\s+of\s+(?:its|the|their|any)?\s*[a-z ,]{0,80}may\s+be\s+used\s+to\s+endorse\s+or\s+promote\s+products"),
+    ("BSD-4-Clause", 75, "advertising", "mentioning", r"all\s+advertising\s+materials\s+mentioning\s+features\s+or\s+use\s+of\s+this\s+software"),
+    ("0BSD", 75, "licen", "zero", r"\b(?:bsd\s+zero[\s-]+clause|zero[\s-]+clause\s+bsd)\b"),
+    ("GPL-2.0-or-later", 82, "licen", "either", r"either\s+version\s+2\s+of\s+the\s+licen[sc]e,?\s+or\s+\(at\s+your\s+option\)\s+any\s+later\s+version"),
+    ("GPL-3.0-or-later", 82, "licen", "either", r"either\s+version\s+3\s+of\s+the\s+licen[sc]e,?\s+or\s+\(at\s+your\s+option\)\s+any\s+later\s+version"),
+    ("LGPL-2.1-or-later", 82, "licen", "2.1", r"either\s+version\s+2\.1\s+of\s+the\s+licen[sc]e,?\s+or\s+\(at\s+your\s+option\)\s+any\s+later\s+version"),
+    ("AGPL", 65, "licen", "affero", r"\baffero\s+general\s+public\s+licen[sc]e\b"),
+    ("LGPL", 65, "licen", "lesser", r"\blesser\s+general\s+public\s+licen[sc]e\b"),
+    ("LGPL", 65, "licen", "library", r"\blibrary\s+general\s+public\s+licen[sc]e\b"),
+    ("GPL-Linking-Exception", 70, "licen", "exception", r"as\s+a\s+special\s+exception,[^.]{0,200}\b(?:link|linking)\b"),
+    ("Classpath-Exception", 70, "licen", "classpath", r"\bclasspath\s+exception\b"),
+    ("GFDL", 65, "licen", "documentation", r"\bgnu\s+free\s+documentation\s+licen[sc]e\b"),
+    ("MPL", 65, "licen", "mozilla", r"subject\s+to\s+the\s+terms\s+of\s+the\s+mozilla\s+public\s+licen[sc]e"),
+    ("EPL", 65, "licen", "accompanying", r"this\s+program\s+and\s+the\s+accompanying\s+materials\s+are\s+made\s+available\s+under\s+the\s+terms\s+of\s+the\s+eclipse\s+public\s+licen[sc]e"),
+    ("CDDL", 65, "licen", "development", r"subject\s+to\s+the\s+terms\s+of\s+the\s+common\s+development\s+and\s+distribution\s+licen[sc]e"),
+    ("Zlib", 75, "misrepresented", "origin", r"the\s+origin\s+of\s+this\s+software\s+must\s+not\s+be\s+misrepresented"),
+    ("BSL-1.0", 75, "hereby", "organization", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+or\s+organization\s+obtaining\s+a\s+copy"),
+    ("Unlicense", 80, "unencumbered", "domain", r"this\s+is\s+free\s+and\s+unencumbered\s+software\s+released\s+into\s+the\s+public\s+domain"),
+    ("WTFPL", 75, "licen", "want", r"\bwant\s+to\s+public\s+licen[sc]e\b"),
+    ("CC0-1.0", 75, "waived", "neighb", r"has\s+waived\s+all\s+copyright\s+and\s+related\s+or\s+neighbou?ring\s+rights"),
+    ("CC", 35, "licen", "creative", r"\bcreative\s+commons\b[^.]{0,80}\blicen[sc]e\b"),
+    ("Artistic", 35, "licen", "artistic", r"\b(?:the\s+)?artistic\s+licen[sc]e\b"),
+    ("Perl", 65, "licen", "perl", r"under\s+the\s+same\s+terms\s+as\s+perl\s+itself"),
+    ("OpenSSL", 75, "openssl", "product", r"this\s+product\s+includes\s+software\s+developed\s+by\s+the\s+openssl\s+project"),
+    ("OFL-1.1", 75, "licen", "font", r"this\s+font\s+software\s+is\s+licen[sc]ed\s+under\s+the\s+sil\s+open\s+font\s+licen[sc]e"),
+    ("Beerware", 75, "beer", "return", r"you\s+can\s+buy\s+me\s+a\s+beer\s+in\s+return"),
+    ("JSON", 75, "evil", "good", r"shall\s+be\s+used\s+for\s+good,\s+not\s+evil"),
+    ("ODbL-1.0", 65, "licen", "database", r"made\s+available\s+under\s+the\s+open\s+database\s+licen[sc]e"),
+    ("SSPL-1.0", 65, "licen", "server", r"\bserver\s+side\s+public\s+licen[sc]e\b"),
+    ("BUSL-1.1", 65, "licen", "business", r"\bbusiness\s+source\s+licen[sc]e\b"),
+    ("Commons-Clause", 65, "licen", "commons", r"\bcommons\s+clause\b[^.]{0,80}\bcondition\b"),
+    ("Elastic-2.0", 65, "hosted", "managed", r"may\s+not\s+provide\s+the\s+software\s+to\s+third\s+parties\s+as\s+a\s+hosted\s+or\s+managed\s+service"),
+    ("EUPL", 65, "licen", "eupl", r"licen[sc]ed\s+under\s+the\s+eupl\b"),
+    ("PSF-2.0", 65, "licen", "psf", r"\bpsf\s+licen[sc]e\s+agreement\b"),
+    ("NCSA", 65, "licen", "illinois", r"\buniversity\s+of\s+illinois(?:\s*/\s*|\s+)ncsa\s+open\s+source\s+licen[sc]e\b"),
+    ("Proprietary", 60, "proprietary", "confidential", r"\b(?:proprietary\s+and\s+confidential|confidential\s+and\s+proprietary)\b"),
+    ("Proprietary", 40, "licen", "proprietary", r"\bproprietary\s+licen[sc]e\b"),
+    ("Dual-License", 20, "licen", "dual", r"\bdual[\s-]+licen[sc]ed\b"),
+    ("License-File", 10, "licen", "file", r"\bsee\s+(?:the\s+)?(?:accompanying\s+)?licen[sc]e\s+file\b"),
 )
 
 

@@ -251,6 +251,31 @@ def test_license_suppression(spark):
     assert [d["label"] for d in found] == ["Apache-2.0"]
 
 
+def test_license_notices(spark):
+    """Notices as they stand in public licences, lines broken anywhere, and prose that only shares words with them."""
+    notices = [
+        ("you may not use this file except in\n compliance with the License", "Apache-2.0"),
+        ("Permission is hereby\ngranted, free of charge, to any person obtaining\na copy of this software", "MIT"),
+        ("The origin of this software must not\nbe misrepresented", "Zlib"),
+        ("This is free and unencumbered software released into the\npublic domain.", "Unlicense"),
+        ("either version 2.1 of the License, or (at your option) any later version", "LGPL-2.1-or-later"),
+        ("Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy", "BSL-1.0"),
+        ("The Software shall be used for Good, not Evil.", "JSON"),
+        ("Neither the name of the University nor the names of its contributors may be used to endorse or promote products", "BSD-3-Clause"),
+        ("All advertising materials mentioning features or use\nof this software", "BSD-4-Clause"),
+        ("has waived all copyright and related or neighboring rights", "CC0-1.0"),
+        ("Proprietary and Confidential", "Proprietary"),
+    ]
+    prose = ["the public library is open", "a good film about evil and beer in return", "he would endorse and promote her", "the hosted event was well managed"]
+    texts = [t for t, _ in notices] + prose
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: {d["label"] for d in r["detections"]} for r in licenses.scan(df).collect()}
+    for i, (text, label) in enumerate(notices):
+        assert label in found[i], (text, found[i])
+    assert all(not found[len(notices) + i] for i in range(len(prose)))
+    assert all(" " not in k for _, _, *keys, _ in licenses.NOTICES for k in keys)
+
+
 def brute_spans(text):
     out = []
     for kind, pattern, flags, least, group in (
