@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 
 def bucket(x: Column) -> Column:
-    """A number that never falls as the (finite) value grows; null for null."""
-    size = F.floor(F.log2(F.abs(x)) * 64).cast("bigint") + 100_000  # the least positive double lies above -1075 x 64
-    return F.when(x.isNull(), F.lit(None).cast("bigint")).when(x == 0, F.lit(0).cast("bigint")).when(x > 0, size).otherwise(-size)
+    """A number that never falls as the value grows; NaN is above all others, null is null."""
+    finite = F.when(F.abs(x) < float("inf"), F.abs(x))
+    size = F.coalesce(F.floor(F.log2(finite) * 64).cast("bigint") + 100_000, F.lit(500_000))  # log2 of the least positive double is above -1075
+    return F.when(F.isnan(x), F.lit(1_000_000).cast("bigint")).when(x.isNull(), F.lit(None).cast("bigint")).when(x == 0, F.lit(0).cast("bigint")).when(x > 0, size).otherwise(-size)
 
 
 def running(df: DataFrame, value: str, weight: Column, name: str, *, descending: bool = False, ties: list[Column] = ()) -> DataFrame:

@@ -433,6 +433,9 @@ def test_running_counts(spark):
     places = {r["_v"]: (r["_less"], r["_place"]) for r in by_value(df.where("x >= 3"), "x", descending=True).collect()}
     assert places == {1.7e308: (0, 0), 1024.0: (1, 1), 1023.999: (2, 2), 3.1: (3, 3), 3.0: (4, 4)}
     assert running(df.where("false"), "x", F.lit(1), "n").count() == 0
+    edges = [float("inf"), 2.0, float("nan"), float("-inf"), -2.0]
+    got = {r["i"]: r["n"] for r in running(spark.createDataFrame(list(enumerate(edges)), "i int, x double"), "x", F.lit(1), "n").collect()}
+    assert got == {3: 0, 4: 1, 1: 2, 0: 3, 2: 4}
 
 
 def test_sessions_are_resumed(sales, tmp_path):
