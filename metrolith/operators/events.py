@@ -48,6 +48,14 @@ def every_start(*, completion_assignment: str) -> Matching:
     return Matching("every_start", completion_assignment)
 
 
+def _occurrence_key(e: Event) -> tuple[Column, Column]:
+    """(id, ts) of an event's rows; a missing one is an error."""
+    ts = F.col(e.occurred_at).cast("timestamp_ntz")
+    missing = ts.isNull() | reduce(lambda a, b: a | b, (F.col(c).isNull() for c in e.identity))
+    safe = F.when(missing, F.raise_error(F.lit(f"event-identity-missing: {e.name}"))).otherwise(ts)
+    return F.struct(*(F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(e.identity))).alias("id"), safe.cast("timestamp_ntz").alias("ts")
+
+
 def occurrences(
     catalog, events: list[str], start: datetime | None = None, end: datetime | None = None, cohort: DataFrame | None = None, role: str | None = None
 ) -> DataFrame:
@@ -72,12 +80,10 @@ def occurrences(
             df = df.where(ts >= T._ntz(start))
         if end is not None:
             df = df.where(ts < T._ntz(end))
-        missing = ts.isNull() | reduce(lambda a, b: a | b, (F.col(c).isNull() for c in e.identity))
-        safe = F.when(missing, F.raise_error(F.lit(f"event-identity-missing: {name}"))).otherwise(ts)
         parts.append(
             df.select(
                 F.lit(name).alias("event"), F.struct(*(F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(subject))).alias("subject"),
-                F.struct(*(F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(e.identity))).alias("id"), safe.cast("timestamp_ntz").alias("ts"),
+                *_occurrence_key(e),
             )
         )
     out = reduce(DataFrame.unionByName, parts)
@@ -86,7 +92,7 @@ def occurrences(
     return out
 
 
-def _along(catalog, e: Event, df: DataFrame, p: Participant) -> tuple[DataFrame, list[str]]:
+def _along(catalog, e: Event, df: DataFrame, p: Participant, mark: str = "_p") -> tuple[DataFrame, list[str]]:
     """The event's rows with the participant's key, by left joins; a step that could multiply rows is refused."""
     at, prefix = e.entity, ""
     for i, name in enumerate(p.path):
@@ -99,27 +105,35 @@ def _along(catalog, e: Event, df: DataFrame, p: Participant) -> tuple[DataFrame,
         far = r.right if forward else r.left
         keys = [(a, b) if forward else (b, a) for a, b in r.keys]
         right = catalog.frame(far)
-        right = right.select(*(F.col(c).alias(f"_p{i}_{c}") for c in right.columns))
-        on = reduce(lambda x, y: x & y, (df[f"{prefix}{a}"] == right[f"_p{i}_{b}"] for a, b in keys))
-        df, at, prefix = df.join(right, on, "left"), far, f"_p{i}_"
+        right = right.select(*(F.col(c).alias(f"{mark}{i}_{c}") for c in right.columns))
+        on = reduce(lambda x, y: x & y, (df[f"{prefix}{a}"] == right[f"{mark}{i}_{b}"] for a, b in keys))
+        df, at, prefix = df.join(right, on, "left"), far, f"{mark}{i}_"
     if at != p.entity:
         raise PlanError("event-path-broken", f"{e.name}: the path ends at {at}, not {p.entity}")
     return df, [f"{prefix}{c}" for c in catalog.entities[at].primary_key]
 
 
 def participants(catalog, event: str, roles: list[str]) -> DataFrame:
-    """(id, ts, role...) of every occurrence: the participant of each role, as a struct of keys; roles meet on equal id and time."""
+    """(id, ts, role...) of every occurrence: the participant of each role, as a struct of keys.
+
+    One pass over the event's rows, so rows that repeat an identity are occurrences of their own.
+    """
     if not roles or len(set(roles)) < len(roles):
         raise PlanError("event-participant-cardinality", f"{event}: roles must be named, each once")
-    out = None
+    e = catalog.events[event]
     for role in roles:
-        one = occurrences(catalog, [event], role=role).select("id", "ts", F.col("subject").alias(role))
-        if out is None:
-            out = one
-            continue
-        right = one.select(F.col("id").alias("_id"), F.col("ts").alias("_ts"), role)
-        out = out.join(right, F.col("id").eqNullSafe(F.col("_id")) & F.col("ts").eqNullSafe(F.col("_ts"))).drop("_id", "_ts")
-    return out
+        if role not in e.roles:
+            raise PlanError("event-role-unknown", f"{event}: {role}")
+    df, found = catalog.frame(e.entity), []
+    if e.where is not None:
+        df = df.where(e.where(df))
+    for n, role in enumerate(roles):
+        subject = e.roles[role]
+        if isinstance(subject, Participant):
+            df, subject = _along(catalog, e, df, subject, f"_r{n}_")
+        found.append(F.struct(*(F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(subject))).alias(role))
+    ident, ts = _occurrence_key(e)
+    return df.select(ident, ts, *found)
 
 
 def occurrence_bounds(catalog, event: str) -> DataFrame:

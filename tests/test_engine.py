@@ -11,7 +11,7 @@ from metrolith.functions import time as T
 from metrolith.functions.errors import PlanError
 from metrolith.operators import attribute, compare, events, lifecycle, quality, stats
 from metrolith.plans.frames import Frame
-from metrolith.plans.model import Catalog, SemiAdditive, Snapshot, Validity
+from metrolith.plans.model import Catalog, Participant, SemiAdditive, Snapshot, Validity
 from metrolith.plans.planner import observe
 from metrolith.plans.session import Session
 from metrolith.sources import inspect, readers
@@ -497,3 +497,19 @@ def test_gregorian_keys(spark):
     ).first()
     assert row["a"] is None and row["b"] is None and tuple(row["t"]) == (2, 3_723_000_004)
     assert periods.rolls_up_to("month", "year") and not periods.rolls_up_to("week", "year")
+
+
+def test_participants_of_repeated_identities(spark):
+    """Rows that are alike in identity and time are occurrences of their own; their roles do not cross."""
+    c = Catalog(spark)
+    rows = [("e1", "2026-01-01", 1, "s1"), ("e1", "2026-01-01", 2, "s2"), ("e2", "2026-01-01", 9, "s1")]
+    c.entity("sales", spark.createDataFrame(rows, "id string, d string, buyer int, seller string").withColumn("at", F.col("d").cast("timestamp_ntz")), primary_key=["id"])
+    c.entity("buyers", spark.createDataFrame([(1, 1), (2, 1)], "buyer_id int, payer int"), primary_key=["buyer_id"])
+    c.relationship("sale_buyer", "sales", "buyers", [("buyer", "buyer_id")])
+    by_path = Participant("buyers", ("sale_buyer",))
+    c.event("sold", "sales", identity=["id"], occurred_at="at", subject=["id"], where=lambda d: d["seller"].isNotNull(), roles={"seller": ["seller"], "buyer": by_path, "again": by_path})
+    found = events.participants(c, "sold", ["seller", "buyer", "again"])
+    got = sorted(found.selectExpr("id.k0", "seller.k0", "buyer.k0", "again.k0").collect(), key=str)
+    assert [tuple(r) for r in got] == [("e1", "s1", "1", "1"), ("e1", "s2", "2", "2"), ("e2", "s1", None, None)]
+    with pytest.raises(PlanError, match="event-role-unknown"):
+        events.participants(c, "sold", ["seller", "courier"])
