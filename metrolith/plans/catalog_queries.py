@@ -24,9 +24,11 @@ def rounded(df: DataFrame, places: int = 4) -> DataFrame:
     return df.select(*((F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, places: int = 4):
+    """Registers a query; ``places`` is to how many its double columns are rounded, as in its SQL."""
+
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir, f=f: _run(f, spark, sf_dir)
+        QUERIES[f.__name__] = lambda spark, sf_dir, f=f: _run(f, spark, sf_dir, places)
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -34,9 +36,9 @@ def query(sql: str | None = None):
     return add
 
 
-def _run(f, spark: SparkSession, sf_dir: str) -> DataFrame:
+def _run(f, spark: SparkSession, sf_dir: str, places: int = 4) -> DataFrame:
     out = f(catalog(spark, sf_dir))
-    return rounded(out.df if isinstance(out, Frame) else out)
+    return rounded(out.df if isinstance(out, Frame) else out, places)
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:

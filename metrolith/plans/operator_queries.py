@@ -570,7 +570,7 @@ def subject_axes_by_validity(c):
     return found.select(F.col("subject_identity.k0").alias("subject"), "level")
 
 
-@query("with x as (select o_custkey, sum(o_totalprice) a, count(*) n from orders group by all), r as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 ra, rank() over (order by n) + (count(*) over (partition by n) - 1) / 2.0 rn from x) select round(corr(ra, rn), 6) as correlation from r")
+@query("with x as (select o_custkey, sum(o_totalprice) a, count(*) n from orders group by all), r as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 ra, rank() over (order by n) + (count(*) over (partition by n) - 1) / 2.0 rn from x) select round(corr(ra, rn), 6) as correlation from r", places=6)
 def correlate_spearman_many_groups(c):
     """Ranks over many aggregated rows, many of them tied."""
     both = [observe(c, m, dimensions=["orders.o_custkey"]) for m in ("revenue", "order_count")]

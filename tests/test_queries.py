@@ -37,3 +37,9 @@ def test_query(spark, duck, name):
     assert sorted(names) == sorted(df.columns)
     expected = [tuple(plain(r[names.index(c)]) for c in sorted(names)) for r in found.fetchall()]
     assert sorted(map(repr, rows)) == sorted(map(repr, expected))
+
+
+def test_places_of_the_sql(spark, duck):
+    """What the SQL rounds to six places is not cut to four."""
+    name = "correlate_spearman_many_groups"
+    assert QUERIES[name](spark, SF).first()[0] == pytest.approx(duck.execute(ORACLE_SQL[name]).fetchone()[0], abs=2e-6)
