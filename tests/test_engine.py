@@ -1,6 +1,7 @@
 """Literal cases: fixtures with known results, and plans that must be refused."""
 
 import json
+import random
 from datetime import date, datetime
 
 import pytest
@@ -513,3 +514,13 @@ def test_participants_of_repeated_identities(spark):
     assert [tuple(r) for r in got] == [("e1", "s1", "1", "1"), ("e1", "s2", "2", "2"), ("e2", "s1", None, None)]
     with pytest.raises(PlanError, match="event-role-unknown"):
         events.participants(c, "sold", ["seller", "courier"])
+
+
+def test_spearman_of_sums_that_vary(spark):
+    """Values whose last bits differ each time they are computed, as those of sums over a shuffle, keep their ranks."""
+    jitter = F.udf(lambda k: float(k) + random.random() / 8, "double").asNondeterministic()
+    base = spark.range(200).select("id")
+    noisy = Frame(base.select("id", jitter("id").alias("v")), "metric", ("id",), values=("v",))
+    plain = Frame(base.select("id", (-F.col("id")).cast("double").alias("v")), "metric", ("id",), values=("v",))
+    found = stats.correlate(noisy, plain, method="spearman").df.first()
+    assert found["correlation"] == pytest.approx(-1.0) and found["aligned_row_count"] == 200
