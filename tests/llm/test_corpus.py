@@ -401,6 +401,24 @@ def test_line_dedup(docs, rows, empty, spark, monkeypatch):
     assert linededup.dedup(docs).count() == len(rows)
 
 
+def test_line_dedup_runs_no_python(spark, monkeypatch):
+    """Near copies in a first and a second round, with no Python function on the executors."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    def refused(*_, **__):
+        raise AssertionError("runs Python on the executors")
+
+    for kind, name in ((DataFrame, "mapInArrow"), (DataFrame, "mapInPandas"), (PandasGroupedOpsMixin, "applyInArrow"), (PandasGroupedOpsMixin, "applyInPandas")):
+        monkeypatch.setattr(kind, name, refused)
+    monkeypatch.setattr(linededup, "BUCKET_ENTRIES", 1)
+    monkeypatch.setattr(linededup, "EARLIEST", 1)
+    words = [f"w{k}" for k in range(20)]
+    near = [(k, " ".join(words[:k] + [f"x{k}"] + words[k + 1 :])) for k in range(4)] + [(9, "w1 w2 own line")]
+    got = sorted(map(tuple, linededup.digest(spark.createDataFrame(near, "doc_id bigint, text string")).collect()))
+    assert got == sorted(brute_line_dedup(near))
+
+
 @pytest.mark.parametrize("n,top", [(0, 0), (1, 0), (5, 3), (1000, 10), (700, 10**7), (300, 2**40)])
 def test_elias_fano(n, top):
     rng = np.random.default_rng(n + top)
