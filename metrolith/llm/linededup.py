@@ -23,8 +23,7 @@ tokens.  So no pair is left out that could still remove a line.  Where more than
 ``DEALT`` words are counted, the later sides of the second round are dealt to
 shares and each share meets all earlier sides, so that no task buffers a whole token.
 
-The bitmap filter: each token of the rarer 0.7 of all words flips one of 96 bits at most, so two
-sets differ in at least as many tokens as their bitmaps differ in bits, and sets that
+The bitmap filter: each token flips one of 96 bits at most, so two sets differ in at least as many tokens as their bitmaps differ in bits, and sets that
 match differ in at most a ninth of their summed sizes.
 
 Tokens are compared as the upper 56 bits of a hash joined with their bucket's
@@ -70,10 +69,10 @@ SIZES = (1 << 16) - 1
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
 
-def rarity(docs: DataFrame, text_column: str = "text") -> tuple[DataFrame, int, int]:
+def rarity(docs: DataFrame, text_column: str = "text") -> tuple[DataFrame, int]:
     """The level (thirds of a power of two) of each hash bucket's number of words, one row with an array of fixed length.
 
-    And the levels that about 0.7 of all words are below, and that tokens have at least that meet in two rounds.
+    And the level that tokens have at least that meet in two rounds.
     """
     words = docs.select(F.explode(F.split(text_column, SPACE)).alias("w")).where("w != ''")
     counted = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).count()
@@ -81,11 +80,9 @@ def rarity(docs: DataFrame, text_column: str = "text") -> tuple[DataFrame, int,
     count = np.zeros(BUCKETS, dtype=np.int64)
     count[found.column("bucket").to_numpy()] = found.column("count").to_numpy()
     level = np.minimum(127, np.ceil(3 * np.log2(np.maximum(count, 1)))).astype(np.int8)
-    uses = np.cumsum(np.bincount(level, weights=count, minlength=128))
     one = pa.table({"level": pa.ListArray.from_arrays(pa.array([0, BUCKETS], pa.int32()), pa.array(level))})
-    common = int(np.searchsorted(uses, 0.7 * uses[-1])) + 1
-    often = math.floor(3 * math.log2(max(BUCKET_ENTRIES, SHARE * uses[-1]))) + 1
-    return materialize(docs.sparkSession.createDataFrame(one), "line-levels"), min(127, common), min(127, often)
+    often = math.floor(3 * math.log2(max(BUCKET_ENTRIES, SHARE * int(count.sum())))) + 1
+    return materialize(docs.sparkSession.createDataFrame(one), "line-levels"), min(127, often)
 
 
 def with_tokens(lines: DataFrame, level: DataFrame) -> DataFrame:
@@ -122,27 +119,24 @@ def _below(tokens: Column, level: int) -> Column:
     return (F.array_position(F.sort_array(F.array_append(tokens, bound)), bound) - 1).cast("int")
 
 
-def signed_lines(docs: DataFrame, level: DataFrame, common: int, often: int, id_column: str, text_column: str) -> DataFrame:
+def signed_lines(docs: DataFrame, level: DataFrame, often: int, id_column: str, text_column: str) -> DataFrame:
     """A row of each line with a word: class key, size, bitmap, and the prefix tokens that others may have.
-
-    The bitmap is that of the tokens below the common level.
     ``keys`` are hashes of those that meet in one round, ``hot`` the tokens of the others, which follow them;
     ``skipped`` is how many stand before.
     """
     split = docs.select(F.col(id_column).alias("doc_id"), F.posexplode(F.split(text_column, "\n")).alias("line_no", "line"))
     sets = with_tokens(split.where(F.col("line").rlike(WORD)), level)
-    rarer = sets.withColumn("r", F.slice("t", F.lit(1), _below(F.col("t"), common)))
     n = F.size("t")
     # Sets of one to three tokens match no other set.
     prefix = F.when(n >= 4, n - F.floor((4 * n + 4) / 5).cast("int") + 1).otherwise(0)
-    signed = rarer.select(
+    signed = sets.select(
         "doc_id",
         "line_no",
         F.xxhash64("t").alias("h1"),
         F.xxhash64(F.lit(1), "t").alias("h2"),
         n.alias("n"),
-        _bitmap(F.col("r"), 1, 64).alias("sig1"),
-        F.shiftright(_bitmap(F.col("r"), 0, 32), 6).alias("sig2"),
+        _bitmap(F.col("t"), 1, 64).alias("sig1"),
+        F.shiftright(_bitmap(F.col("t"), 0, 32), 6).alias("sig2"),
         F.slice("t", F.lit(1), prefix).alias("p"),
     )
     counted = signed.withColumns({"skipped": _below(F.col("p"), 1), "whole": _below(F.col("p"), often)})
@@ -299,8 +293,8 @@ def numbered(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 def _decided(rows: DataFrame) -> DataFrame:
     """(row, line_no, class_row, class_no, removed) of every line with a word of the numbered rows."""
-    level, common, often = rarity(rows, "_text")
-    lines = materialize(signed_lines(rows, level, common, often, "_row", "_text"), "lines")
+    level, often = rarity(rows, "_text")
+    lines = materialize(signed_lines(rows, level, often, "_row", "_text"), "lines")
     found = classes(lines)
     gone = removed_classes(rows, found, level)
     marked = found.join(gone, (F.col("doc_id") == F.col("x_doc")) & (F.col("line_no") == F.col("x_no")), "left").select(
